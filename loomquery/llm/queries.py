@@ -1,8 +1,12 @@
 """The queries of this subpackage and the SQL that gives the same rows, where SQL can."""
 
-from . import langid
+from . import exact_dedup, langid, near_dedup
 
 QUERIES = {
+    "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_near_dedup": near_dedup.op6_near_dedup,
     "op10_language_id": langid.op10_language_id,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op5_exact_dedup": exact_dedup.ORACLE,
+}
