@@ -7,6 +7,7 @@ numpy operation; texts are always processed whole, only their grouping into bloc
 from __future__ import annotations
 
 import unicodedata
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -136,3 +137,39 @@ def word_hashes(block: Block) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words, and their owners."""
     starts, ends, owner = word_spans(block)
     return span(prefix_sums(tables()[1][block.cps]), starts, ends), owner
+
+
+@dataclass
+class SortedHash:
+    """Keys in the order of their hashes, found through a directory of the leading hash bits."""
+
+    keys: np.ndarray
+    hashes: np.ndarray = field(init=False)
+    order: np.ndarray = field(init=False)
+    shift: np.uint64 = field(init=False)
+    heads: np.ndarray = field(init=False)
+    depth: int = field(init=False)
+
+    def __post_init__(self):
+        h = mix(self.keys)
+        self.order = np.argsort(h)
+        self.hashes = h[self.order]
+        bits = max(4, int(len(h)).bit_length() + 1)
+        self.shift = np.uint64(64 - bits)
+        self.heads = np.searchsorted(self.hashes >> self.shift, np.arange((1 << bits) + 1)).astype(np.int32)
+        self.depth = int(np.diff(self.heads).max(initial=0))
+        self.hashes = np.append(self.hashes, np.zeros(self.depth + 1, np.uint64))
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each key, -1 where it is missing."""
+        h = mix(keys)
+        at = self.heads[h >> self.shift]
+        out = np.where((self.hashes[at] == h) & (at < len(self.order)), at, -1)
+        left = np.flatnonzero(out < 0)
+        for j in range(1, self.depth):
+            if not len(left):
+                break
+            hit = (self.hashes[at[left] + j] == h[left]) & (at[left] + j < len(self.order))
+            out[left[hit]] = at[left[hit]] + j
+            left = left[~hit]
+        return out

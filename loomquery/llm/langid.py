@@ -15,7 +15,7 @@ and kept by ``keep_identified``.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import kernels as K
-from .common import lists, map_text, pieces, read, signed, texts_of, without
+from .common import map_text, pieces, read, signed, texts_of
 
 ORDER = 5
 TRAIN_DOCS = 400
@@ -55,50 +55,14 @@ def ngrams(codes: np.ndarray, owner: np.ndarray, order: int) -> np.ndarray:
     return out
 
 
-@dataclass
-class SortedHash:
-    """Keys in the order of their hashes, found through a directory of the leading hash bits."""
-
-    keys: np.ndarray
-    hashes: np.ndarray = field(init=False)
-    order: np.ndarray = field(init=False)
-    shift: np.uint64 = field(init=False)
-    heads: np.ndarray = field(init=False)
-    depth: int = field(init=False)
-
-    def __post_init__(self):
-        h = K.mix(self.keys)
-        self.order = np.argsort(h)
-        self.hashes = h[self.order]
-        bits = max(4, int(len(h)).bit_length() + 1)
-        self.shift = np.uint64(64 - bits)
-        self.heads = np.searchsorted(self.hashes >> self.shift, np.arange((1 << bits) + 1)).astype(np.int32)
-        self.depth = int(np.diff(self.heads).max(initial=0))
-        self.hashes = np.append(self.hashes, np.zeros(self.depth + 1, np.uint64))
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The row of each key, -1 where it is missing."""
-        h = K.mix(keys)
-        at = self.heads[h >> self.shift]
-        out = np.where((self.hashes[at] == h) & (at < len(self.order)), at, -1)
-        left = np.flatnonzero(out < 0)
-        for j in range(1, self.depth):
-            if not len(left):
-                break
-            hit = (self.hashes[at[left] + j] == h[left]) & (at[left] + j < len(self.order))
-            out[left[hit]] = at[left[hit]] + j
-            left = left[~hit]
-        return out
-
-
 @dataclass
 class Model:
     """tables[n-1]: the n-grams seen in any language and their log-probability in each language; contexts[n-1]:
     the contexts of order-n n-grams and the logarithm of their back-off weights."""
 
     languages: list[str]
-    tables: list[tuple[SortedHash, np.ndarray]]
-    contexts: list[tuple[SortedHash, np.ndarray]]
+    tables: list[tuple[K.SortedHash, np.ndarray]]
+    contexts: list[tuple[K.SortedHash, np.ndarray]]
     unseen: np.ndarray
     mean: np.ndarray = None
     within: np.ndarray = None
@@ -150,13 +114,13 @@ def kneser_ney(grams: list[tuple[np.ndarray, np.ndarray]], languages: list[str],
             keys, counts = np.unique(short, return_counts=True)
     letters = len(np.unique(np.concatenate([k for k, _ in by_order[0]]))) + 1
     tables, contexts = [], []
-    below: SortedHash | None = None
+    below: K.SortedHash | None = None
     probs = unseen = None
     for n in range(1, order + 1):
-        table = SortedHash(np.unique(np.concatenate([k for k, _ in by_order[n - 1]])))
+        table = K.SortedHash(np.unique(np.concatenate([k for k, _ in by_order[n - 1]])))
         keys = table.keys[table.order]
         ctx = keys >> np.uint64(_BITS)
-        held = SortedHash(np.unique(ctx))
+        held = K.SortedHash(np.unique(ctx))
         at_ctx = held.find(ctx)
         p = np.zeros((len(keys), len(languages)))
         backoff = np.ones((len(held.order), len(languages)))

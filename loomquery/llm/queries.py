@@ -1,8 +1,10 @@
 """The queries of this subpackage and the SQL that gives the same rows, where SQL can."""
 
-from . import exact_dedup, langid, near_dedup
+from . import bpe, decontaminate, exact_dedup, langid, near_dedup
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op10_language_id": langid.op10_language_id,
