@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 
 from loomquery.operators.knn import ranking, top
 
 # Windows without a partition are used on candidate lists only: a few dozen rows.
-_ALL = W.partitionBy()
+def _all() -> WindowSpec:
+    return W.partitionBy()
+
 
 
 def max_normalised(score: str) -> Column:
     """score over the highest score of all rows; 0 where that isn't positive."""
-    most = F.max(score).over(_ALL)
+    most = F.max(score).over(_all())
     return F.when(most > 0, F.col(score) / F.nullif(most, F.lit(0.0))).otherwise(F.lit(0.0))
 
 
@@ -36,7 +39,7 @@ def blend(vector: DataFrame, text: DataFrame, alpha: float = 0.7) -> DataFrame:
 def rrf(vector: DataFrame, text: DataFrame, k: int = 60) -> DataFrame:
     """(id, score): reciprocal ranks of both lists summed."""
     k = max(1, k)
-    part = lambda listed: listed.select("id", (1.0 / (F.row_number().over(_ALL.orderBy(*ranking())) + k)).alias("part"))
+    part = lambda listed: listed.select("id", (1.0 / (F.row_number().over(_all().orderBy(*ranking())) + k)).alias("part"))
     return _outer(part(vector), part(text), "part").select("id", (F.col("v") + F.col("t")).alias("score"))
 
 
