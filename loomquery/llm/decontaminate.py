@@ -106,7 +106,10 @@ def _rows(ids: pa.Array, found: list, value: np.ndarray, type_: np.ndarray, owne
     sizes = []
     for family, size, at, h in found:
         span = (at[:, None] + np.arange(size)).ravel()
-        for col, x in zip(cols, (owner[at], np.full(len(at), family), np.full(len(at), size), h, at - first[owner[at]], type_[span], value[span])):
+        shapes = type_[span]
+        if family == 1:  # names are words there
+            shapes = np.where(shapes == NAME, LITERAL, shapes)
+        for col, x in zip(cols, (owner[at], np.full(len(at), family), np.full(len(at), size), h, at - first[owner[at]], shapes, value[span])):
             col.append(x)
         sizes.append(np.full(len(at), size))
     own, family, size, h, pos, shapes, vals = (np.concatenate(c) for c in cols)
@@ -158,7 +161,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverag
     joined = hits.join(items, ["family", "size", "hash"]).where(F.col("shapes") == F.col("doc_shapes"))
     aligned = joined.select("doc_id", "item_id", "family", (F.col("at") - F.col("pos")).alias("diagonal"), "length", "pos", F.posexplode(F.arrays_zip("shapes", "vals", "doc_vals")).alias("j", "t"))
     keys = ["doc_id", "item_id", "family", "diagonal"]
-    slot = (F.col("shape") != LITERAL) & ((F.col("family") == 0) | (F.col("shape") != NAME))
+    slot = F.col("shape") != LITERAL
     token = aligned.select(*keys, "length", (F.col("pos") + F.col("j")).alias("place"), F.col("t.shapes").alias("shape"), F.col("t.vals").alias("val"), F.col("t.doc_vals").alias("doc_val")).distinct()
     token = token.where(slot | (F.col("val") == F.col("doc_val")))
     pairs = token.groupBy(*keys, "shape", "val", "doc_val").agg(F.count("*").alias("n"), F.collect_set(F.struct("place", "length")).alias("places"))

@@ -136,7 +136,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, found: float
                     c = list(zip(*dict.fromkeys(out)))
                     yield pa.RecordBatch.from_arrays([pa.array(c[0], part.column("doc_id").type), pa.array(c[1]), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64()), pa.array(c[4])], ["doc_id", "license", "start", "end", "score"])
 
-    rows = docs.where("text is not null").join(sides, F.col("doc_id") == F.col("id")).select("doc_id", "text", "spans")
+    rows = docs.where("text is not null").select("doc_id", "text").join(sides, F.col("doc_id") == F.col("id")).select("doc_id", "text", "spans")
     return rows.mapInArrow(run, f"doc_id {kind}, license string, start long, end long, score double").distinct()
 
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections import defaultdict
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,10 +37,10 @@ def _key(values: tuple) -> tuple:
 def assign(splitters: list[tuple], keys: list[str]) -> Column:
     """The range of each row: how many splitters are at most its key. Only key columns go to Python."""
 
-    @F.pandas_udf("int")
-    def ranges(rows: pd.DataFrame) -> pd.Series:
-        columns = [rows[c].astype(object).where(rows[c].notna(), None) for c in rows.columns]
-        return pd.Series([bisect_right(splitters, _key(v)) for v in zip(*columns)], dtype="int32")
+    @F.arrow_udf("int")
+    def ranges(rows: pa.Array) -> pa.Array:
+        columns = [c.to_pylist() for c in rows.flatten()]
+        return pa.array([bisect_right(splitters, _key(v)) for v in zip(*columns)], pa.int32())
 
     return ranges(F.struct(*keys))
 
