@@ -159,6 +159,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverag
     rows = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     hits = map_text(rows, run, f"doc_id {kind}, {_COLUMNS}").select("doc_id", "family", "size", "hash", F.col("pos").alias("at"), F.col("shapes").alias("doc_shapes"), F.col("vals").alias("doc_vals"))
     joined = hits.join(items, ["family", "size", "hash"]).where(F.col("shapes") == F.col("doc_shapes"))
+    joined = materialise(joined, "window-hits")
     aligned = joined.select("doc_id", "item_id", "family", (F.col("at") - F.col("pos")).alias("diagonal"), "length", "pos", F.posexplode(F.arrays_zip("shapes", "vals", "doc_vals")).alias("j", "t"))
     keys = ["doc_id", "item_id", "family", "diagonal"]
     slot = F.col("shape") != LITERAL
