@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomquery.functions import vectors as V
-from loomquery.operators.knn import batch_knn, distances, exact_knn, top
+from loomquery.operators.knn import distances, exact_knn, matrix, top
 from loomquery.schema import Metric
 
 #: Rows below which a scan is better than an index.
@@ -47,7 +48,7 @@ def use_index(rows: int, enabled: bool = True, least_rows: int = LEAST_ROWS) ->
 
 
 def assign(vector: Column, centroids: Sequence[Sequence[float]], metric: Metric) -> Column:
-    """(distance, cluster) of the nearest centroid, the first among equals."""
+    """(distance, cluster) of the nearest of a few centroids, the first among equals."""
     ways = [F.struct(V.distance(vector, V.literal(c), metric).alias("distance"), F.lit(i).alias("cluster")) for i, c in enumerate(centroids)]
     return F.least(*ways) if len(ways) > 1 else ways[0]
 
@@ -64,18 +65,31 @@ def fit(rows: DataFrame, k: int | None = None, metric: Metric = Metric.COSINE, i
     centroids = np.array(model.clusterCenters())
     placed = model.transform(features).select("id", "vector", F.col("prediction").alias("cluster"))
     placed = rows.join(placed.select("id", "cluster"), "id", "left").select("id", "vector", F.coalesce("cluster", F.lit(CATCH_ALL)).alias("cluster")) if cosine else placed
-    radius = placed.where(F.col("cluster") >= 0).groupBy("cluster").agg(F.max(_to_own(centroids, metric)).alias("radius")).collect()
     radii = np.zeros(len(centroids))
-    for r in radius:
+    for r in placed.where(F.col("cluster") >= 0).mapInArrow(_furthest(placed, centroids, metric), "cluster int, radius double").groupBy("cluster").agg(F.max("radius").alias("radius")).collect():
         radii[r["cluster"]] = r["radius"]
     return Ivf(centroids, radii, metric), placed
 
 
-def _to_own(centroids: np.ndarray, metric: Metric) -> Column:
-    """Distance (Euclidean: its root) of a row from its cluster's centroid."""
-    own = F.element_at(F.array(*[V.literal(c) for c in centroids]), F.col("cluster") + 1)
-    d = V.distance(F.col("vector"), own, metric)
-    return F.sqrt(d) if metric is Metric.EUCLIDEAN else d
+def _furthest(placed: DataFrame, centroids: np.ndarray, metric: Metric):
+    """Of each batch the greatest distance (Euclidean: its root) from its centroid by cluster."""
+    shared = placed.sparkSession.sparkContext.broadcast(centroids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, ok = matrix(batch.column("vector"), shared.value.shape[1])
+            if len(ok):
+                cluster = batch.column("cluster").to_numpy()[ok]
+                own = shared.value[cluster]
+                if metric is Metric.EUCLIDEAN:
+                    d = np.sqrt(((rows - own) ** 2).sum(1))
+                else:
+                    dot = (rows * own).sum(1)
+                    d = -dot if metric is Metric.DOT else 1 - np.clip(dot / np.sqrt((rows**2).sum(1) * (own**2).sum(1)), -1, 1)
+                at = np.unique(cluster)
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([d[cluster == c].max() for c in at])], ["cluster", "radius"])
+
+    return run
 
 
 def write(placed: DataFrame, path: str) -> None:
@@ -115,5 +129,3 @@ def search_batch(placed: DataFrame, index: Ivf, queries: Sequence[tuple], k: int
     d = V.distance(F.col("vector"), F.col("query"), index.metric)
     return top(placed.join(opened, "cluster").select("query_id", "id", V.score(d, index.metric).alias("score")), k, ["query_id"]).select("query_id", "rank", "id", "score")
 
-
-__all__ = ["Ivf", "assign", "batch_knn", "cluster_count", "fit", "search", "search_batch", "search_bounded", "use_index", "write"]

@@ -41,9 +41,10 @@ def without_tombstones(rows: DataFrame, tombstones: DataFrame) -> DataFrame:
 
 
 def latest_segment(rows: DataFrame, segment: str = "segment") -> DataFrame:
-    """Of each id the row of the highest segment."""
-    w = W.partitionBy("id").orderBy(F.col(segment).desc())
-    return rows.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
+    """Of each id the row of the highest segment; ids are unique within a segment. Only ids and segment numbers are
+    aggregated; the rows themselves meet just the ids that stand in several segments."""
+    many = rows.groupBy(F.col("id").alias("_id")).agg(F.max(segment).alias("_newest"), F.min(segment).alias("_oldest")).where("_newest <> _oldest").drop("_oldest")
+    return rows.join(many, rows["id"] == many["_id"], "left").where(F.col("_newest").isNull() | (F.col(segment) == F.col("_newest"))).drop("_id", "_newest")
 
 
 def overlay(segments: DataFrame, buffer: DataFrame, buffer_tombstones: DataFrame | None = None) -> DataFrame:

@@ -140,7 +140,10 @@ class Namespace:
     def live(self, generation: int | None = None, with_log: bool = True) -> DataFrame:
         """The rows that a search sees: latest segment rows without tombstones, under the changes not yet compacted."""
         manifest = self.manifest(generation)
-        rows = versions.without_tombstones(versions.latest_segment(self.segments(manifest)), self.tombstones(manifest)).select(*DOCUMENT.fieldNames())
+        rows = self.segments(manifest)
+        if len(manifest.segments) > 1:
+            rows = versions.latest_segment(rows)
+        rows = versions.without_tombstones(rows, self.tombstones(manifest)).select(*DOCUMENT.fieldNames())
         if generation is not None or not with_log or not self.log_files():
             return rows
         order = ["ts", "file", "seq"]
@@ -172,6 +175,23 @@ class Namespace:
             self.files.delete(f)
         return new
 
+    def fold(self) -> Manifest:
+        """Rewrite all live compacted rows as one segment, without overwritten and deleted ones; older generations stay
+        readable."""
+        from loomquery.functions.vectors import norm
+
+        old = self.manifest()
+        if not old.segments:
+            return old
+        g, n = old.generation + 1, 1 + max(s["id"] for s in old.segments)
+        path = f"{self.path}/segments/seg={n}"
+        rows = self.live(with_log=False).withColumn("norm", norm(F.col("vector")))
+        rows.repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").option("parquet.bloom.filter.enabled#id", "true").parquet(path)
+        count = self.spark.read.parquet(path).count()
+        new = Manifest(g, time.time_ns(), old.dimensions, [{"id": n, "doc_count": count, "size_bytes": self.files.size(path), "dimensions": old.dimensions}], old.watermark)
+        self._commit(new)
+        return new
+
     def _commit(self, manifest: Manifest) -> None:
         """Write beside, then rename: the last step, and all or nothing."""
         beside, at = f"{self.path}/manifests/_{uuid.uuid4().hex}", f"{self.path}/manifests/{manifest.generation}"

@@ -1,7 +1,7 @@
 """Streaming ingest: a change stream merged into a table of live rows, and a buffer of recent rows.
 
-The merged table is versioned like a namespace: each micro-batch writes a new version beside the old one and then its
-marker, so a batch that is run again after a failure does no harm.
+The merged table is a base with deltas: a batch costs what it holds, and one that is run again after a failure does no
+harm.
 """
 
 from __future__ import annotations
@@ -15,32 +15,48 @@ from loomquery.sources.store import Files
 
 
 class LiveTable:
-    """The last change of every id, deletes included, so that late changes still lose to newer ones. Versions are written
-    whole; ``partitions`` keeps ids of a version apart by hash, so that merges and searches work in parallel."""
+    """The last change of every id, deletes included, so that late changes still lose to newer ones.
 
-    def __init__(self, spark: SparkSession, path: str, schema, keep: int = 2):
-        self.spark, self.path, self.schema, self.keep, self.files = spark, path, schema, keep, Files(spark)
+    A micro-batch writes only its own changes, as a delta; every ``fold`` batches the deltas and the base become a new
+    base. Reading replays the base and the deltas after it."""
+
+    def __init__(self, spark: SparkSession, path: str, schema, fold: int = 16):
+        self.spark, self.path, self.schema, self.fold, self.files = spark, path, schema, fold, Files(spark)
+
+    def _done(self, kind: str) -> list[int]:
+        return sorted(int(v.split("=")[1]) for v in self.files.list(self.path) if v.startswith(kind) and self.files.exists(f"{self.path}/{v}/_SUCCESS"))
 
     def version(self) -> int:
-        done = [int(v[2:]) for v in self.files.list(self.path) if v.startswith("v=") and self.files.exists(f"{self.path}/{v}/_SUCCESS")]
-        return max(done, default=-1)
+        """The last batch taken in."""
+        return max([*self._done("base="), *self._done("delta=")], default=-1)
+
+    def _parts(self) -> list[str]:
+        base = max(self._done("base="), default=-1)
+        return ([f"{self.path}/base={base}"] if base >= 0 else []) + [f"{self.path}/delta={d}" for d in self._done("delta=") if d > base]
 
     def changes(self) -> DataFrame:
-        v = self.version()
-        return self.spark.createDataFrame([], self.schema) if v < 0 else self.spark.read.schema(self.schema).parquet(f"{self.path}/v={v}")
+        parts = self._parts()
+        read = self.spark.read.schema(self.schema).parquet(*parts) if parts else self.spark.createDataFrame([], self.schema)
+        return versions.latest_change(read) if len(parts) > 1 else read
 
     def rows(self) -> DataFrame:
         return self.changes().where(F.col("op") == "upsert").drop("op")
 
     def merge(self, batch: DataFrame, batch_id: int) -> None:
-        """Take a micro-batch in. batch_id names the version, so a repeated batch is written over or skipped."""
+        """Take a micro-batch in; one that was taken in before is skipped, one that failed halfway is written over."""
         if self.version() >= batch_id:
             return
-        merged = versions.latest_change(self.changes().unionByName(batch.select(*self.schema.fieldNames())))
-        merged.write.mode("overwrite").parquet(f"{self.path}/v={batch_id}")
-        for v in self.files.list(self.path):
-            if v.startswith("v=") and int(v[2:]) <= batch_id - self.keep:
-                self.files.delete(f"{self.path}/{v}")
+        versions.latest_change(batch.select(*self.schema.fieldNames())).write.mode("overwrite").parquet(f"{self.path}/delta={batch_id}")
+        if len(self._parts()) > self.fold:
+            self.compact()
+
+    def compact(self) -> None:
+        """Fold all deltas into a new base; the base is whole before anything older goes."""
+        old, v = self._parts(), self.version()
+        if len(old) > 1:
+            self.changes().write.mode("overwrite").parquet(f"{self.path}/base={v}")
+            for part in old:
+                self.files.delete(part)
 
 
 def ingest(source: DataFrame, table: LiveTable, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:

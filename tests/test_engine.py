@@ -99,6 +99,10 @@ def test_namespace_lifecycle(spark, tmp_path):
     ns.compact()
     assert sorted(r.id for r in ns.live().collect()) == ["a", "b"]
     assert ns.compact().generation == 3
+    folded = ns.fold()
+    assert len(folded.segments) == 1 and folded.segments[0]["doc_count"] == 2 and ns.tombstones().collect() == []
+    assert sorted((r.id, r.text) for r in ns.live().collect()) == [("a", "new"), ("b", "goodbye rust")]
+    assert sorted(r.id for r in ns.live(generation=1).collect()) == ["a", "b"]
     for bad in ([("x", [1.0], None, None)], [("x", [], None, None)], [("x", None, None, None)], [("x", [float("nan"), 1.0], None, None)], [(None, [1.0, 2.0], None, None)], []):
         with pytest.raises(ValueError):
             ns.upsert(docs(spark, bad))
@@ -134,3 +138,8 @@ def test_stream_equals_batch(spark, tmp_path):
     table.merge(changes, before)  # a batch run again
     assert table.version() == before
     assert [r.id for r in expire(table, 3).collect()] == ["b"]
+    table.compact()
+    assert table.version() == before and sorted((r.id, r.seq) for r in table.rows().collect()) == want
+    late = log(spark, [(2, 9, "upsert", "b", 3), (9, 10, "delete", "a", 0)])
+    table.merge(late, before + 1)
+    assert [r.id for r in table.rows().collect()] == ["c"]
