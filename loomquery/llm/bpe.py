@@ -4,8 +4,10 @@ Pre-tokenisation: codepoint classes become symbols of a small automaton (letters
 follows it, apostrophes that may begin a contraction). Each symbol is a function of the states; functions compose, and
 composition is associative, so the state before every character comes from a blocked scan: functions of blocks, a
 prefix scan over the blocks, then the states within all blocks at once. A table of the finitely many compositions makes
-each step one lookup. Boundaries give slices, which a cache turns into tokens; slices not met before are merged all at
-once, the pair of lowest rank first and leftmost first, as the rank file demands. Each token keeps its byte offset.
+each step one lookup. Boundaries give slices, which a cache turns into tokens by the hashes of all slices at once; slices not
+met before are merged together, the pair of lowest rank first and leftmost first, as the rank file demands. The tokens
+of a block are compared with its bytes, so two slices of one hash can't pass for each other. Each token keeps its byte
+offset.
 
 Defined cases: null text gives null lists, empty text empty ones; special tokens are ordinary text; unknown ids make
 ``decode`` raise; a null ``ids`` decodes to null; rows without an id or repeated rows are encoded like any others.
@@ -15,7 +17,6 @@ from __future__ import annotations
 
 import base64
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,8 @@ from . import kernels as K
 from .common import map_text, read
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Different slices kept by a worker before it starts anew.
-CACHE_SLICES = 300_000
+#: Different slices kept by a worker before it starts anew, and the bits of the cache's table.
+CACHE_SLICES, CACHE_BITS = 300_000, 20
 SCAN = 128
 _END, _L, _N, _O, _W, _P, _C1, _C2 = range(8)
 _SL, _SN, _SO, _SW, _SP, _SQ, _A2, _A3 = range(8)
@@ -113,6 +114,41 @@ def slices(block: K.Block) -> tuple[np.ndarray, np.ndarray]:
     return at[real], ends[real]
 
 
+class Cache:
+    """An open-addressed table from hashes to numbers, read and filled by whole arrays."""
+
+    def __init__(self):
+        self.keys, self.values, self.n = np.zeros(1 << CACHE_BITS, np.uint64), np.zeros(1 << CACHE_BITS, np.int32), 0
+        self.shift, self.mask = np.uint64(64 - CACHE_BITS), (1 << CACHE_BITS) - 1
+
+    def get(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash (none is 0), -1 where it is missing."""
+        at = (h >> self.shift).astype(np.int64)
+        held = self.keys[at]
+        out = np.where(held == h, self.values[at], -1)
+        left = np.flatnonzero((held != h) & (held != 0))
+        while len(left):
+            at[left] = (at[left] + 1) & self.mask
+            held = self.keys[at[left]]
+            hit = held == h[left]
+            out[left[hit]] = self.values[at[left[hit]]]
+            left = left[~hit & (held != 0)]
+        return out
+
+    def add(self, h: np.ndarray) -> None:
+        """Number different hashes, none of which is held, from the count of those held on."""
+        at, number = (h >> self.shift).astype(np.int64), self.n + np.arange(len(h), dtype=np.int32)
+        self.n += len(h)
+        while len(h):
+            free = np.flatnonzero(self.keys[at] == 0)
+            self.keys[at[free]] = h[free]  # of several for one place the last gets it
+            got = free[self.keys[at[free]] == h[free]]
+            self.values[at[got]] = number[got]
+            rest = np.ones(len(h), bool)
+            rest[got] = False
+            h, number, at = h[rest], number[rest], (at[rest] + 1) & self.mask
+
+
 class Encoder:
     """Ranks, the table of mergeable pairs, and the cache of slices."""
 
@@ -139,8 +175,8 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.cache: dict[str, int] = {}
-        self.parts, self.ids = [], np.empty(0, np.int32)
+        self.cache = Cache()
+        self.ids = np.empty(0, np.int32)
         self.at, self.n = np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -190,20 +226,44 @@ class Encoder:
 
     def encode(self, block: K.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Tokens of all texts, how many each text has, and the byte offset of each token in its text."""
-        if len(self.cache) > CACHE_SLICES:
-            self.clear()
         starts, ends = slices(block)
-        text = block.text
-        words = [text[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
-        index = np.fromiter(map(self.cache.get, words, repeat(-1)), np.int64, len(words))
+        out = self._tokens(block, starts, ends, self._numbers(block, starts, ends))
+        raw, data = np.frombuffer(block.text.encode(), np.uint8), self.flat[_spread(self.starts[out[0]], self.length[out[0]])]
+        between = block.ends
+        if len(raw) > len(block.cps):
+            wider = (block.cps >= 0x80).astype(np.uint8) + (block.cps >= 0x800) + (block.cps >= 0x10000)
+            between = between + np.cumsum(wider, dtype=np.int64)[between]
+        if not np.array_equal(np.delete(raw, between), data):  # two slices of one hash: go by the slices themselves
+            self.clear()
+            words = [block.text[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+            number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+            self._append([w.encode() for w in number])
+            out = self._tokens(block, starts, ends, np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
+            self.clear()
+        return out
+
+    def _numbers(self, block: K.Block, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The number of each slice in the cache, after those not met before were merged."""
+        if self.cache.n > CACHE_SLICES:
+            self.clear()
+        h = K.span(K.prefix_sums(block.cps), starts, ends)
+        h[h == 0] = 1
+        index = self.cache.get(h)
         miss = np.flatnonzero(index < 0)
         if len(miss):
-            new = list(dict.fromkeys([words[i] for i in miss.tolist()]))
-            ids, n = self.merge([w.encode() for w in new])
-            self.cache.update(zip(new, range(len(self.n), len(self.n) + len(new))))
-            self.at = np.append(self.at, len(self.ids) + np.cumsum(n) - n)
-            self.ids, self.n = np.append(self.ids, ids), np.append(self.n, n)
-            index[miss] = np.fromiter(map(self.cache.__getitem__, [words[i] for i in miss.tolist()]), np.int64, len(miss))
+            new, first = np.unique(h[miss], return_index=True)
+            at = miss[first]
+            self._append([block.text[a:b].encode() for a, b in zip(starts[at].tolist(), ends[at].tolist())])
+            self.cache.add(new)
+            index[miss] = self.cache.get(h[miss])
+        return index
+
+    def _append(self, words: list[bytes]) -> None:
+        ids, n = self.merge(words)
+        self.at = np.append(self.at, len(self.ids) + np.cumsum(n) - n)
+        self.ids, self.n = np.append(self.ids, ids), np.append(self.n, n)
+
+    def _tokens(self, block: K.Block, starts: np.ndarray, ends: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = self.n[index]
         ids = self.ids[_spread(self.at[index], n)]
         per_text = np.add.reduceat(np.append(n, 0), np.append(np.searchsorted(starts, block.starts), len(n))[:-1]) if len(n) else np.zeros(len(block.starts), np.int64)
