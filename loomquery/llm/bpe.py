@@ -16,6 +16,7 @@ Defined cases: null text gives null lists, empty text empty ones; special tokens
 from __future__ import annotations
 
 import base64
+import heapq
 from functools import lru_cache
 
 import numpy as np
@@ -28,6 +29,8 @@ from .common import map_text, read
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Different slices kept by a worker before it starts anew, and the bits of the cache's table.
 CACHE_SLICES, CACHE_BITS = 300_000, 20
+#: Slices of more bytes are merged one by one with a heap, in n log n steps.
+LONG_SLICE = 256
 SCAN = 128
 _END, _L, _N, _O, _W, _P, _C1, _C2 = range(8)
 _SL, _SN, _SO, _SW, _SP, _SQ, _A2, _A3 = range(8)
@@ -171,6 +174,7 @@ class Encoder:
                     pairs.append(a << 32 | b)
                     made.append(rank)
         self.pairs = K.SortedHash(np.array(pairs, np.uint64))
+        self.made_of: dict | None = None
         self.made = np.append(np.array(made, np.int64)[self.pairs.order], np.iinfo(np.int64).max)
         self.clear()
 
@@ -182,8 +186,48 @@ class Encoder:
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return self.made[self.pairs.find((a << 32 | b).view(np.uint64))]
 
+    def merge_long(self, word: bytes) -> list[int]:
+        """Tokens of one long word: a linked list of tokens and a heap of pairs by rank, then place."""
+        if self.made_of is None:
+            keys = self.pairs.keys[self.pairs.order]
+            self.made_of = dict(zip(zip((keys >> np.uint64(32)).tolist(), (keys & np.uint64(0xFFFFFFFF)).tolist()), self.made.tolist()))
+        made = self.made_of
+        ids: list = self.single[np.frombuffer(word, np.uint8)].tolist()
+        n = len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(made[p], i, *p) for i, p in enumerate(zip(ids, ids[1:])) if p in made]
+        heapq.heapify(heap)
+        while heap:
+            rank, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] != a or j >= n or ids[j] != b:
+                continue  # one of them was merged meanwhile
+            ids[i], ids[j] = rank, None
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                p = (rank, ids[k])
+                if p in made:
+                    heapq.heappush(heap, (made[p], i, *p))
+            h = before[i]
+            if h >= 0:
+                p = (ids[h], rank)
+                if p in made:
+                    heapq.heappush(heap, (made[p], h, *p))
+        return [x for x in ids if x is not None]
+
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of all words in order, and how many each has."""
+        long = [i for i, w in enumerate(words) if len(w) > LONG_SLICE]
+        if not long:
+            return self._merge(words)
+        ids, n = self._merge([b"" if len(w) > LONG_SLICE else w for w in words])
+        parts = np.split(ids, np.cumsum(n)[:-1])
+        for i in long:
+            parts[i] = np.array(self.merge_long(words[i]), np.int32)
+        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+
+    def _merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         far = np.iinfo(np.int64).max
         n = np.fromiter(map(len, words), np.int64, len(words))
         ids = self.single[np.frombuffer(b"".join(words), np.uint8)]

@@ -34,8 +34,10 @@ def test_encode_like_the_reference_and_back(reference, texts):
 
 
 def test_long_runs(reference):
-    texts = ["a" * 5000, " " * 3000 + "x", "ab" * 3000, "", "word " * 40000]
+    rnd = np.random.default_rng(8)
+    texts = ["a" * 5000, " " * 3000 + "x", "ab" * 3000, "", "word " * 40000, "".join(map(chr, rnd.integers(97, 123, 20_000))), "x" * 500_000, "thing" * 60]
     ids, n, _ = bpe.encoder(bpe.VOCABULARY).encode(K.Block(texts))
+    texts, n, ids = texts[:-2] + texts[-1:], np.delete(n, -2), np.delete(ids, np.arange(n[:-2].sum(), n[:-1].sum()))  # the reference takes too long over one
     assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [reference.encode_ordinary(t) for t in texts]
 
 
@@ -78,3 +80,23 @@ def test_span_hashes_do_not_depend_on_the_place():
     assert owner.tolist() == [0, 0, 0, 1, 1, 1, 1, 3]
     assert len(set(h.tolist())) == len(set(words))
     assert all((h[i] == h[j]) == (words[i] == words[j]) for i in range(8) for j in range(8))
+
+
+def test_slices_of_one_hash(reference, monkeypatch):
+    real = K.span
+    monkeypatch.setattr(K, "span", lambda *a: real(*a) & np.uint64(7))
+    e = bpe.Encoder(bpe.VOCABULARY)
+    texts = ["several different words, all of few hashes: é 12", "", "again and again different"]
+    for _ in range(2):
+        ids, n, _ = e.encode(K.Block(texts))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [reference.encode_ordinary(t) for t in texts]
+
+
+def test_cache_table():
+    c = bpe.Cache()
+    h = np.unique(np.random.default_rng(3).integers(1, 1 << 62, 200_000).astype(np.uint64))
+    h[:5000] = (np.uint64(1) << np.uint64(50)) + np.arange(5000, dtype=np.uint64)  # one neighbourhood
+    h = np.unique(h)
+    for part in np.array_split(h, 7):
+        c.add(part)
+    assert (c.get(h) == np.arange(len(h))).all() and (c.get(h + np.uint64(1 << 63)) == -1).all()
