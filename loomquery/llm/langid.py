@@ -29,8 +29,9 @@ from .common import map_text, pieces, read, signed, texts_of
 ORDER = 5
 TRAIN_DOCS = 400
 CALIBRATE_DOCS = 800
-#: Held-out documents are standardised for their length; the limit is this quantile of theirs times the margin.
-QUANTILE, MARGIN, LEAST_LIMIT = 0.999, 1.5, 8.0
+#: Held-out documents are standardised for their length; the limit is this quantile of theirs times the margin. The
+#: quantile leaves room for rows of a wrong label.
+QUANTILE, MARGIN, LEAST_LIMIT = 0.98, 2.0, 8.0
 _BITS = 12
 _BLANK = np.uint64(32)
 
