@@ -10,6 +10,7 @@ from dataclasses import asdict
 from pyspark.sql import DataFrame, SparkSession
 
 from loomquery.functions.text import Tokenizer
+from loomquery.operators import versions
 from loomquery.plans.search import search
 from loomquery.schema import SearchRequest
 from loomquery.sources.store import Files, Namespace
@@ -65,8 +66,12 @@ class Catalog:
 
     def search(self, name: str, request: SearchRequest) -> DataFrame:
         ns = self.namespace(name)
-        dims = ns.manifest().dimensions
-        return search(self.rows(name), request, dims, self.tokenizer, max_top_k=self.max_top_k)
+        dims, index = ns.manifest().dimensions, ns.index()
+        log_rows = hidden = None
+        if index is not None and ns.log_files():
+            last = versions.latest_change(ns.log(), ["ts", "file", "seq"])
+            hidden, log_rows = last.select("id"), last.where("op = 'upsert'").select("id", "vector", "attributes")
+        return search(self.rows(name), request, dims, self.tokenizer, max_top_k=self.max_top_k, index=index, log_rows=log_rows, hidden=hidden)
 
     def search_cached(self, name: str, request: SearchRequest) -> DataFrame:
         """The same from a cache of small results, keyed by request and state of the namespace; not with vectors."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomquery.functions.attributes import predicate
 from loomquery.functions.text import Tokenizer
-from loomquery.operators import bm25, fusion, knn
+from loomquery.operators import bm25, fusion, ivf, knn, quantize
 from loomquery.schema import Mode, SearchRequest
 
 
@@ -22,16 +22,37 @@ def text_list(rows: DataFrame, text: str, n: int, where: Column | None = None, t
     return knn.top(scored, n).select("id", "score")
 
 
-def search(rows: DataFrame, request: SearchRequest, dimensions: int | None = None, tokenizer: Tokenizer = Tokenizer(), typed: dict[str, tuple[Column, str]] | None = None, max_top_k: int = 1000) -> DataFrame:
+def index_list(index: tuple, request, n: int, allowed: Column, log_rows: DataFrame | None = None, hidden: DataFrame | None = None) -> DataFrame:
+    """(id, score) of the n nearest rows of the clusters that the query opens, by codes first where there are any, and of
+    the rows of the change log, which hide (id) rows of the index. The filter comes before the distances."""
+    found, placed, calibration = index
+    rows = placed.where(F.col("cluster").isin([ivf.CATCH_ALL, *found.nearest(request.vector, request.nprobe)])).where(allowed)
+    if hidden is not None:
+        rows = rows.join(hidden.select("id"), "id", "left_anti")
+    if calibration:
+        d = quantize.approximate_distance(F.col("code"), request.vector, *calibration, found.metric, F.col("norm"))
+        few = rows.select("id", (-d).alias("score")).orderBy(F.round("score", 9).desc(), "id").limit(n * quantize.RERANK)
+        rows = rows.select("id", "vector").join(F.broadcast(few.select("id")), "id")
+    scored = knn.score_rows(rows.select("id", "vector"), [(0, request.vector)], request.metric, n)
+    if log_rows is not None:
+        scored = scored.unionByName(knn.score_rows(log_rows.where(allowed), [(0, request.vector)], request.metric, n))
+    return knn.top(scored.select("id", "score"), n).select("id", "score")
+
+
+def search(rows: DataFrame, request: SearchRequest, dimensions: int | None = None, tokenizer: Tokenizer = Tokenizer(), typed: dict[str, tuple[Column, str]] | None = None, max_top_k: int = 1000, index: tuple | None = None, log_rows: DataFrame | None = None, hidden: DataFrame | None = None) -> DataFrame:
     """(rank, id, score[, attributes][, vector]) of a request over rows (id, vector, text[, attributes][, segment]).
 
     Statistics of BM25 cover all rows, the filter only what is ranked; each list is cut to its candidates before fusion;
-    vectors are read again only where they are asked for.
+    vectors are read again only where they are asked for. index: an IVF index of the rows of the request's metric, with
+    the changes (log_rows, hidden ids) since it was built; without it all rows are scanned.
     """
     plan = request.resolved(dimensions, max_top_k)
     allowed = predicate(request.filters, F.col("attributes") if "attributes" in rows.columns else None, typed)
     n = plan.candidates
-    vector = vector_list(rows.where(allowed), request, n) if plan.mode is not Mode.TEXT else None
+    vector = None
+    if plan.mode is not Mode.TEXT:
+        usable = index is not None and index[0].metric is request.metric
+        vector = index_list(index, request, n, allowed, log_rows, hidden) if usable else vector_list(rows.where(allowed), request, n)
     segment = "segment" if request.stats_scope == "segment" and "segment" in rows.columns else None
     text = text_list(rows, request.text, n, allowed, tokenizer, segment) if plan.mode is not Mode.VECTOR else None
     if plan.mode is Mode.VECTOR:
@@ -42,4 +63,4 @@ def search(rows: DataFrame, request: SearchRequest, dimensions: int | None = Non
         found = fusion.fuse(vector, text, plan.top_k, plan.fusion, plan.alpha, plan.rrf_k)
     found = found.select("rank", "id", "score")
     more = [*(["attributes"] if "attributes" in rows.columns else []), *(["vector"] if request.include_vectors else [])]
-    return F.broadcast(found).join(rows.select("id", *more), "id").select("rank", "id", "score", *more) if more else found
+    return F.broadcast(found).join(rows.select("id", *more), "id").select("rank", "id", "score", *more).orderBy("rank") if more else found

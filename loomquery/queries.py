@@ -11,6 +11,7 @@ from loomquery.functions import vectors as V
 from loomquery.functions.attributes import predicate
 from loomquery.functions.text import STOPWORDS, Tokenizer
 from loomquery.operators import bm25, ivf, knn, quantize, versions
+from loomquery.plans.catalog import Catalog
 from loomquery.plans.search import search
 from loomquery.schema import Metric, SearchRequest
 from loomquery.sources.scratch import scratch
@@ -382,6 +383,18 @@ def namespace_live_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ns.live().select("id", "text")
 
 
+@query(_knn_sql().replace("SELECT id, greatest", "SELECT id::VARCHAR AS id, greatest"))
+def namespace_indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A namespace with an IVF index and 8-bit codes, all clusters opened: the rows of an exact scan."""
+    root = scratch(spark, "catalog")
+    catalog = Catalog(spark, root)
+    ns = catalog.namespace("vectors")
+    ns.upsert(vecs(spark, sf_dir).select(F.col("id").cast("string").alias("id"), "vector"), 1)
+    ns.compact()
+    ns.build_index(least_rows=1)
+    return shown(catalog.search("vectors", SearchRequest(tuple(vector_of(spark, sf_dir, 0)[0][1]), nprobe=1 << 16)))
+
+
 # streams
 
 

@@ -4,6 +4,7 @@
     {root}/{namespace}/segments/seg=<n>/        immutable rows, sorted by id, with a Bloom filter on id
     {root}/{namespace}/manifests/<generation>/  one JSON line: segments, rows, dimensions, log files taken in
     {root}/{namespace}/tombstones/<generation>/ deleted ids
+    {root}/{namespace}/index/<generation>/      rows by cluster, centroids, codes
 
 A commit writes all its files and then the manifest; a reader takes the highest generation whose manifest is whole, so
 it sees all of a commit or nothing, and older generations can be read as they were.
@@ -16,12 +17,16 @@ import time
 import uuid
 from dataclasses import asdict, dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomquery.operators import versions
-from loomquery.schema import CHANGE, DOCUMENT, TOMBSTONES
+from loomquery.functions.vectors import norm
+from loomquery.operators import ivf, quantize, versions
+from loomquery.schema import CHANGE, DOCUMENT, TOMBSTONES, Metric
 
+#: How long a writer may take from claiming a generation to committing it.
+CLAIM_SECONDS = 300
 SEGMENT_COLUMNS = [*DOCUMENT.fieldNames(), "norm"]
 
 
@@ -60,6 +65,17 @@ class Files:
         fs, p = self._at(path)
         return fs.delete(p, True)
 
+    def claim(self, path: str, stale: float) -> bool:
+        """Create an empty file if there is none, or one older than stale seconds; the file system lets one writer win."""
+        fs, p = self._at(path)
+        try:
+            fs.create(p, False).close()
+            return True
+        except Exception:
+            if not fs.exists(p) or time.time() - fs.getFileStatus(p).getModificationTime() / 1000 < stale:
+                return False
+            return fs.delete(p, False) and self.claim(path, stale)
+
     def rename(self, old: str, new: str) -> bool:
         fs, p = self._at(old)
         return fs.rename(p, self.jvm.org.apache.hadoop.fs.Path(new))
@@ -157,8 +173,6 @@ class Namespace:
         old = self.manifest()
         if not taken:
             return old
-        from loomquery.functions.vectors import norm
-
         order = ["ts", "file", "seq"]
         log = self.log()
         rows = versions.replay(log, order).where(F.size("vector") > 0)
@@ -178,8 +192,6 @@ class Namespace:
     def fold(self) -> Manifest:
         """Rewrite all live compacted rows as one segment, without overwritten and deleted ones; older generations stay
         readable."""
-        from loomquery.functions.vectors import norm
-
         old = self.manifest()
         if not old.segments:
             return old
@@ -193,12 +205,41 @@ class Namespace:
         return new
 
     def _commit(self, manifest: Manifest) -> None:
-        """Write beside, then rename: the last step, and all or nothing."""
-        beside, at = f"{self.path}/manifests/_{uuid.uuid4().hex}", f"{self.path}/manifests/{manifest.generation}"
+        """Claim the generation, write beside, rename: the last step, and all or nothing. A claim holds for ``CLAIM_SECONDS``."""
+        at = f"{self.path}/manifests/{manifest.generation}"
+        if self.files.exists(at) or not self.files.claim(f"{self.path}/claims/{manifest.generation}", CLAIM_SECONDS) or self.files.exists(at):
+            raise RuntimeError(f"generation {manifest.generation} belongs to another writer")
+        beside = f"{self.path}/manifests/_{uuid.uuid4().hex}"
         self.spark.createDataFrame([(json.dumps(asdict(manifest)),)], "value string").coalesce(1).write.text(beside)
-        if not self.files.rename(beside, at):
-            self.files.delete(beside)
-            raise RuntimeError(f"generation {manifest.generation} was committed by another writer")
+        self.files.rename(beside, at)
+
+    # inverted-file index of a snapshot
+    def build_index(self, metric: Metric = Metric.COSINE, quantization: str = "sq8", least_rows: int = ivf.LEAST_ROWS, clusters: int | None = None) -> bool:
+        """Write the compacted live rows by cluster, with codes, for searches of this generation; False if a scan is
+        better (fewer rows than least_rows) or nothing is compacted."""
+        generation = self.manifest().generation
+        rows = self.live(with_log=False)
+        if not generation or not ivf.use_index(rows.count(), least_rows=least_rows):
+            return False
+        index, placed = ivf.fit(rows.select("id", "vector"), clusters, metric)
+        full = placed.join(rows.select("id", "attributes"), "id").withColumn("norm", norm(F.col("vector")))
+        lo, scale = quantize.collected(quantize.calibrate(rows)) if quantization == "sq8" else ([], [])
+        if lo:
+            full = full.withColumn("code", F.transform(quantize.encode(F.col("vector"), lo, scale), lambda c: c.cast("short")))
+        path = f"{self.path}/index/{generation}"
+        ivf.write(full, f"{path}/rows")
+        meta = {"metric": metric.value, "centroids": index.centroids.tolist(), "radii": index.radii.tolist(), "lo": lo, "scale": scale}
+        self.spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+        return True
+
+    def index(self) -> tuple[ivf.Ivf, DataFrame, tuple[list, list] | None] | None:
+        """The index of the current generation, its rows, and the calibration of its codes."""
+        path = f"{self.path}/index/{self.manifest().generation}"
+        if not self.files.exists(f"{path}/meta/_SUCCESS"):
+            return None
+        meta = json.loads(self.spark.read.text(f"{path}/meta").first()[0])
+        found = ivf.Ivf(np.array(meta["centroids"]), np.array(meta["radii"]), Metric(meta["metric"]))
+        return found, self.spark.read.parquet(f"{path}/rows"), (meta["lo"], meta["scale"]) if meta["lo"] else None
 
     # status
     def info(self) -> dict:

@@ -143,3 +143,29 @@ def test_stream_equals_batch(spark, tmp_path):
     late = log(spark, [(2, 9, "upsert", "b", 3), (9, 10, "delete", "a", 0)])
     table.merge(late, before + 1)
     assert [r.id for r in table.rows().collect()] == ["c"]
+
+
+@pytest.mark.parametrize("quantization", ["sq8", "none"])
+def test_indexed_namespace(spark, tmp_path, quantization):
+    import numpy as np
+
+    v = np.random.default_rng(1).normal(size=(300, 6)).round(4)
+    rows = [(f"{i:03d}", v[i].tolist(), None, f'{{"k": {i % 3}}}') for i in range(300)]
+    catalog = Catalog(spark, str(tmp_path))
+    ns = catalog.namespace("n")
+    ns.upsert(docs(spark, rows), 1)
+    assert not ns.build_index()
+    ns.compact()
+    assert not ns.build_index() and ns.index() is None
+    request = SearchRequest(tuple(v[7].tolist()), top_k=5, nprobe=99, filters={"k": [0, 1]})
+    plain = [(r["rank"], r.id) for r in catalog.search("n", request).collect()]
+    assert ns.build_index(quantization=quantization, least_rows=10, clusters=8)
+    assert [(r["rank"], r.id) for r in catalog.search("n", request).collect()] == plain
+    ns.delete(spark.createDataFrame([(plain[0][1],)], "id string"), 2)
+    ns.upsert(docs(spark, [("299", v[7].tolist(), None, '{"k": 1}')]), 3)
+    got = [r.id for r in catalog.search("n", request).collect()]
+    assert got == ["299"] + [i for _, i in plain[1:5] if i != "299"]
+    few = SearchRequest(tuple(v[7].tolist()), top_k=5, nprobe=1)
+    assert len(catalog.search("n", few).collect()) == 5
+    with pytest.raises(RuntimeError):
+        ns._commit(ns.manifest())
