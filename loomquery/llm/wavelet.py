@@ -11,8 +11,12 @@ their text only and keep an arbitrary order among equals; an empty table gives n
 
 from __future__ import annotations
 
+import builtins
 import json
+import mmap
+import os
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -88,6 +92,12 @@ class WaveletMatrix:
         self.base = at + count_len
         self.blob, self._open, self._kept = blob, open_, {}
 
+    @classmethod
+    def open(cls, path: str) -> WaveletMatrix:
+        """A file on a local or mounted path, of which only the directory and the blocks asked for are read."""
+        with builtins.open(path, "rb") as f:
+            return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+
     def _block(self, plane: int, j: int) -> np.ndarray:
         """The bits of a block."""
         key = plane * self.blocks + j
@@ -203,5 +213,25 @@ def token_shards(docs: DataFrame, vocabulary: str = VOCABULARY, shard_bytes: int
     return ordered.mapInArrow(shards, f"shard int, n_docs long, n_tokens long, doc_ids array<{kind}>, file binary")
 
 
+def write_files(shards: DataFrame, folder: str) -> DataFrame:
+    """Write each shard as {folder}/shard-<number>.lqwm on a path that all executors share; (shard, path, n_tokens) of
+    those written. A file appears whole or not at all, and a task that is run again writes the same."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths = []
+            for shard, blob in zip(batch.column("shard").to_pylist(), batch.column("file").to_pylist()):
+                path = os.path.join(folder, f"shard-{shard:06d}.lqwm")
+                os.makedirs(folder, exist_ok=True)
+                beside = f"{path}.{uuid.uuid4().hex}"
+                with builtins.open(beside, "wb") as f:
+                    f.write(blob)
+                os.replace(beside, path)
+                paths.append(path)
+            yield pa.RecordBatch.from_arrays([batch.column("shard"), pa.array(paths, pa.string()), batch.column("n_tokens")], ["shard", "path", "n_tokens"])
+
+    return shards.select("shard", "file", "n_tokens").mapInArrow(run, "shard int, path string, n_tokens long")
+
+
 def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards(read(spark, sf_dir, "documents"))

@@ -57,7 +57,7 @@ def test_wavelet(tokens, i):
             w.select(t, len(at))
 
 
-def test_blocks_and_shards(spark):
+def test_blocks_and_shards(spark, tmp_path):
     a = np.random.default_rng(0).zipf(1.3, 120_000) % 50_000
     w = wavelet.WaveletMatrix(wavelet.build(a.astype(np.uint16), [], np.zeros(0), 16))
     assert [w.access(i) for i in range(0, len(a), 997)] == a[::997].tolist()
@@ -78,6 +78,8 @@ def test_blocks_and_shards(spark):
             seen.append((str(d), e.decode(ids, np.array([len(ids)]))[0].tobytes().decode()))
     assert sorted(seen) == sorted((str(d), t or "") for d, t, _ in rows)
     assert wavelet.token_shards(docs.limit(0)).collect() == []
+    written = wavelet.write_files(wavelet.token_shards(docs, shard_bytes=1000), str(tmp_path / "out")).collect()
+    assert {r.shard: wavelet.WaveletMatrix.open(r.path).n for r in written} == {s.shard: s.n_tokens for s in shards}
 
 
 # link graph
