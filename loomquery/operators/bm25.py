@@ -81,32 +81,47 @@ def score(docs: DataFrame, terms: list[str], tokenizer: Tokenizer = Tokenizer(),
         held = token_rows(docs, tokenizer)
         per = held.groupBy("id").agg(F.count("*").alias("dl"), *[F.count_if(F.col("term") == t).alias(c) for c, t in zip(names, counts)])
         rows = docs.select("id", flag.alias("ok"), *keep).join(per, "id", "left").na.fill(0, ["dl", *names])
+        found = rows.where("ok")
     else:
-        tokens = docs.select("id", flag.alias("ok"), *keep, tokenizer.tokens(F.col("text")).alias("tokens"))
-        rows = tokens.select("id", "ok", *keep, F.size("tokens").alias("dl"), *[_count(F.col("tokens"), t).alias(c) for c, t in zip(names, counts)])
+
+        def counted(some: DataFrame) -> DataFrame:
+            tokens = some.select("id", *keep, tokenizer.tokens(F.col("text")).alias("tokens"))
+            return tokens.select("id", *keep, F.size("tokens").alias("dl"), *[_count(F.col("tokens"), t).alias(c) for c, t in zip(names, counts)])
+
+        rows = counted(docs)
+        # for what is ranked, only texts that hold a term as a string are cut into tokens
+        holds = reduce(lambda x, y: x | y, [F.contains(F.lower("text"), F.lit(t)) for t in counts])
+        found = counted(docs.where(flag & holds))
     stats = rows.groupBy(*keep).agg(F.count("*").alias("n"), F.sum("dl").alias("total"), *[F.count_if(F.col(c) > 0).alias("df" + c) for c in names])
-    hits = rows.where(F.col("ok") & reduce(lambda x, y: x | y, [F.col(c) > 0 for c in names]))
+    hits = found.where(reduce(lambda x, y: x | y, [F.col(c) > 0 for c in names]))
     joined = hits.join(F.broadcast(stats), segment) if segment else hits.crossJoin(F.broadcast(stats))
     avgdl = average_length(F.col("total"), F.col("n"))
     parts = [times * idf(F.col("n"), F.col("df" + c)) * weight(F.col(c), F.col("dl"), avgdl, k1, b) for c, times in zip(names, counts.values())]
     return joined.select("id", reduce(lambda x, y: x + y, parts).alias("score"), *keep)
 
 
+def postings(docs: DataFrame, tokenizer: Tokenizer = Tokenizer()) -> DataFrame:
+    """(id, dl, term, tf): postings that carry the document's length, so that a search joins nothing of the corpus's size."""
+    if tokenizer.stem:
+        return term_frequency(docs, tokenizer).join(doc_lengths(docs, tokenizer), "id").select("id", "dl", "term", "tf")
+    tokens = docs.select("id", tokenizer.tokens(F.col("text")).alias("tokens"))
+    return tokens.select("id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+
+
 def build_index(docs: DataFrame, path: str, tokenizer: Tokenizer = Tokenizer()) -> None:
-    """Write postings (sorted by term, so that a term's row groups are found by their bounds), lengths and statistics."""
-    term_frequency(docs, tokenizer).repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/postings")
-    doc_lengths(docs, tokenizer).write.mode("overwrite").parquet(f"{path}/lengths")
+    """Write postings (sorted by term, so that a term's row groups are found by their bounds) and statistics."""
+    postings(docs, tokenizer).repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/postings")
     corpus_stats(docs, tokenizer).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
 
 
 def search_index(spark, path: str, terms: list[str], allowed: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
     """(id, score) from a written index; the terms are pushed to the scan of the postings. allowed: (id) to keep."""
     counts = Counter(terms)
-    postings = spark.read.parquet(f"{path}/postings").where(F.col("term").isin(list(counts)) if counts else F.lit(False))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    listed = spark.read.parquet(f"{path}/postings").where(F.col("term").isin(list(counts)) if counts else F.lit(False))
+    df = listed.groupBy("term").agg(F.count("*").alias("df"))  # a row a term of the query
     times = F.coalesce(*[F.when(F.col("term") == t, F.lit(n)) for t, n in counts.items()], F.lit(0)) if counts else F.lit(0)
     if allowed is not None:
-        postings = postings.join(allowed, "id", "left_semi")
-    rows = postings.join(F.broadcast(df), "term").join(spark.read.parquet(f"{path}/lengths"), "id").crossJoin(F.broadcast(spark.read.parquet(f"{path}/stats")))
+        listed = listed.join(allowed, "id", "left_semi")
+    rows = listed.join(F.broadcast(df), "term").crossJoin(F.broadcast(spark.read.parquet(f"{path}/stats")))
     part = times * idf(F.col("n_docs"), F.col("df")) * weight(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
     return rows.groupBy("id").agg(F.sum(part).alias("score"))
