@@ -122,11 +122,12 @@ for _name, _filters, _where in (("eq", {"label": 3}, "label = 3"), ("in", {"labe
     query(_knn_sql(where=_where), f"knn_filter_{_name}")(_filtered(_filters))
 
 
-@query(f"WITH {_Q}, {_V} SELECT rank, t.id, round(score, 6) AS score, e AS vector FROM (" + _top(f"SELECT id, {_SCORES[Metric.COSINE]} AS score FROM v, q", 5, "rank, id, score") + ") t JOIN v ON v.id = t.id")
+@query(f"WITH {_Q}, {_V} SELECT rank, t.id, round(score, 6) AS score, (generate_subscripts(e, 1) - 1)::INTEGER AS dim, round(unnest(e), 6) AS x FROM (" + _top(f"SELECT id, {_SCORES[Metric.COSINE]} AS score FROM v, q", 5, "rank, id, score") + ") t JOIN v ON v.id = t.id")
 def knn_include_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     request = SearchRequest(vector=tuple(vector_of(spark, sf_dir, 0)[0][1]), top_k=5, include_vectors=True)
     found = search(vecs(spark, sf_dir), request)
-    return found.select("rank", "id", F.round("score", 6).alias("score"), F.col("vector").cast("array<double>").alias("vector"))
+    each = found.select("rank", "id", F.round("score", 6).alias("score"), F.posexplode(F.col("vector").cast("array<double>")).alias("dim", "x"))
+    return each.withColumn("x", F.round("x", 6))
 
 
 @query("SELECT vec_id AS id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings")

@@ -10,6 +10,27 @@ import uuid
 from pyspark.sql import SparkSession
 
 _own: list[str] = []
+_written: list[str] = []
+
+
+def _local(path: str) -> str | None:
+    path = path.removeprefix("file://") if path.startswith("file:///") else path.removeprefix("file:")
+    return path if path.startswith("/") else None
+
+
+@atexit.register
+def _clean() -> None:
+    """What this process wrote on local or mounted paths goes with it."""
+    for path in map(_local, _written):
+        if path:
+            shutil.rmtree(path, ignore_errors=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this process wrote, on any file system; results that are still read from it must be kept before."""
+    while _written:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -20,4 +41,5 @@ def scratch(spark: SparkSession, name: str) -> str:
             _own.append(tempfile.mkdtemp(prefix="loomquery-"))
             atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
         root = _own[0]
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    _written.append(f"{root}/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
