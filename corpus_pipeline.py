@@ -6,12 +6,11 @@ again before the next. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from loomquery.llm import bpe, decontaminate, exact_dedup, langid, near_dedup
-from loomquery.llm.common import read, shared_dir
+from loomquery.llm.common import read
+from loomquery.sources.scratch import scratch
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +43,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over documents."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
+        path = scratch(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

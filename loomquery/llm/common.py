@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,28 +10,18 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomquery.sources.scratch import scratch
+
 #: Characters of text that a kernel handles at once; longer texts are a block of their own.
 BLOCK_CHARS = 1 << 19
 #: A side of a join is broadcast only if it was counted and is estimated to be at most this large.
 BROADCAST_BYTES = 32 << 20
 
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or _own.get("dir")
-    if not at:
-        at = _own["dir"] = tempfile.mkdtemp(prefix="loomquery-")
-        atexit.register(shutil.rmtree, at, ignore_errors=True)
-    return at
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
