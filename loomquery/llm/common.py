@@ -14,6 +14,8 @@ from loomquery.sources.scratch import scratch
 
 #: Characters of text that a kernel handles at once; longer texts are a block of their own.
 BLOCK_CHARS = 1 << 19
+#: Rows of a batch that Spark hands to Python.
+BATCH_ROWS = 2000
 #: A side of a join is broadcast only if it was counted and is estimated to be at most this large.
 BROADCAST_BYTES = 32 << 20
 
@@ -26,6 +28,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let the session hand texts to Python in batches of at most BATCH_ROWS rows: a worker then holds little besides the
+    block it works on. A lower setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def sized(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df, marked for broadcast if its counted rows fit the limit; otherwise Spark shuffles both sides."""
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
@@ -68,6 +78,7 @@ def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None
                 if out is not None and out.num_rows:
                     yield out
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import kernels as K
-from .common import map_text, pieces, read, signed, texts_of
+from .common import map_text, pieces, read, signed, small_batches, texts_of
 
 ORDER = 5
 TRAIN_DOCS = 400
@@ -261,6 +261,7 @@ def keep_identified(docs: DataFrame, model: Model | None = None, **options) -> D
                 if keep.any():
                     yield part.filter(pa.array(keep)).select(names)
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 
