@@ -47,8 +47,14 @@ def vecs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its scan has fewer splits than that, as a small file has; large tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "source")
+    return spread(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "source"))
 
 
 def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
