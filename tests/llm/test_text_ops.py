@@ -181,3 +181,25 @@ def test_licenses(spark):
 def test_common_words():
     assert license_scan.common_words([1, 2, 3, 4], [2, 9, 4]) == [1, 3]
     assert license_scan.common_words([], [1]) == []
+
+
+def test_license_variants_and_full_texts(spark):
+    templates = license_scan.all_templates()
+    cases = [
+        (1, "Licensed under CC BY-ND 4.0", {"CC-BY-ND-4.0"}),
+        (2, "This work is licensed under the GNU Lesser General Public License, version 3", {"LGPL-3.0"}),
+        (3, "This work is licensed under the GNU Affero General Public License, version 3", {"AGPL-3.0"}),
+        (4, "This work is licensed under the GNU General Public License, version 2", {"GPL-2.0"}),
+        (5, "Released under the ISC License", {"ISC"}),
+        (6, "Licensed under CC BY 9.0", set()),
+        (7, "Licensed under the Foobar License, Version 2.0", set()),
+        (8, "under the GNU Lesser General Public License, version 2.1", {"LGPL-2.1"}),
+        (9, "SPDX-License-Identifier: EPL-2.0", {"EPL-2.0"}),
+        (10, "released under the Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", {"CC-BY-NC-SA-4.0"}),
+    ]
+    full = [n for n in templates if n.endswith("-full")]
+    cases += [(100 + i, "a b c d e " * 9 + templates[n] + " f g h i j", {n.removesuffix("-full")}) for i, n in enumerate(full)]
+    found = license_scan.scan(table(spark, [(i, t, None) for i, t, _ in cases])).collect()
+    ids = sorted({n.removesuffix("-full") for n in full} | {"CC-BY-ND-4.0", "AGPL-3.0", "EPL-2.0", "CC-BY-NC-SA-4.0"}, key=len, reverse=True)
+    got = {i: {next((x for x in ids if r.license == x or r.license.startswith(x + "-")), r.license) for r in found if r.doc_id == i} for i, _, _ in cases}
+    assert got == {i: w for i, _, w in cases}
