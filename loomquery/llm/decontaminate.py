@@ -2,14 +2,14 @@
 
 Texts become tokens: lower-cased words, with typed placeholders for numbers (digits and number words), units (symbols,
 and unit words after a number) and, in the first of two families of templates, names (capitalised words); in the second
-family names stay words, so that a leak in another letter case is met too. Windows of ``WINDOW`` template tokens of the
-documents are hash-joined with those of the benchmark items. On each diagonal (document less item position) the slot
+family names stay words, so that a leak in another letter case is met too. A third family holds the values of the
+windows that the templates drop, those that are mostly placeholders. Windows of ``WINDOW`` template tokens of the documents are hash-joined with those of the benchmark items. On each diagonal (document less item position) the slot
 values must map consistently both ways: the same value of the item always became the same value of the document. A
 document is contaminated by an item if consistent diagonals cover at least ``COVERAGE`` of the item's tokens; it is
 ``rewritten`` if a slot has another value there.
 
-Defined cases: items shorter than a window are one window of their own length; windows that are mostly placeholders don't
-count; null, empty or wordless texts and items match nothing; items without an id and documents without a ``doc_id``
+Defined cases: items shorter than a window are one window of their own length; windows that are mostly placeholders
+count only verbatim; null, empty or wordless texts and items match nothing; items without an id and documents without a ``doc_id``
 are not reported, and such documents stay; rows that share a ``doc_id`` are judged together; repeated items are
 judged by id; an empty benchmark leaves all documents; other columns are kept by ``decontaminate``.
 """
@@ -34,6 +34,8 @@ CONSISTENT = 0.8
 #: documents are joined by a shuffle.
 FILTER_WINDOWS = 4_000_000
 LITERAL, NUM, UNIT, NAME = range(4)
+#: The family of windows of values.
+VERBATIM = 2
 _NUMBER_WORDS = "zero two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half twice thrice"
 _UNIT_WORDS = "mm cm m km kilometer kilometers kilometre kilometres meter meters metre metres inch inches ft foot feet yard yards mile miles mg g kg gram grams kilogram kilograms lb lbs pound pounds ounce ounces oz ton tons tonnes ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years mph kmh hz khz mhz ghz w kw mw v kv a j kj cal kcal percent dollar dollars cent cents euro euros usd eur gbp yen degree degrees kelvin celsius fahrenheit"
 _SYMBOLS = [ord(c) for c in "%$€£¥°‰"]
@@ -82,7 +84,7 @@ def tokens(block: K.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def template_windows(value: np.ndarray, type_: np.ndarray, owner: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(family, size, positions, hashes) of the windows that are at least half words."""
+    """(family, size, positions, hashes) of the windows that are at least half words, and of the others by their values."""
     for family in range(2):
         slot = type_ != LITERAL if family == 0 else (type_ != LITERAL) & (type_ != NAME)
         shape = np.where(slot, _PLACE[type_], value)
@@ -92,6 +94,13 @@ def template_windows(value: np.ndarray, type_: np.ndarray, owner: np.ndarray, si
             if len(h):
                 ok = np.flatnonzero(inside & (2 * (words[size:] - words[:-size]) >= size))
                 yield family, size, ok, h[ok]
+    # windows that either family drops
+    drop = np.append(0, np.cumsum(type_ == LITERAL))
+    for size in sizes:
+        h, inside = K.windows(value, owner, size)
+        if len(h):
+            ok = np.flatnonzero(inside & (2 * (drop[size:] - drop[:-size]) < size))
+            yield VERBATIM, size, ok, h[ok]
 
 
 _COLUMNS = "family int, size int, hash long, pos int, shapes array<int>, vals array<long>, length int"
@@ -109,6 +118,8 @@ def _rows(ids: pa.Array, found: list, value: np.ndarray, type_: np.ndarray, owne
         shapes = type_[span]
         if family == 1:  # names are words there
             shapes = np.where(shapes == NAME, LITERAL, shapes)
+        elif family == VERBATIM:
+            shapes = np.zeros_like(shapes)
         for col, x in zip(cols, (owner[at], np.full(len(at), family), np.full(len(at), size), h, at - first[owner[at]], shapes, value[span])):
             col.append(x)
         sizes.append(np.full(len(at), size))
@@ -174,6 +185,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverag
     good = pairs.join(bad, keys, "left_anti")
     changed = F.col("val") != F.col("doc_val")
     places = good.select("doc_id", "item_id", "family", changed.alias("changed"), F.explode("places").alias("p"))
+    # verbatim text counts for the coverage of each family
+    families = F.when(F.col("family") == VERBATIM, F.array(*map(F.lit, range(VERBATIM + 1)))).otherwise(F.array("family"))
+    places = places.select("doc_id", "item_id", F.explode(families).alias("family"), "changed", "p")
     covered = places.groupBy("doc_id", "item_id", "family", "p.place", "p.length").agg(F.min("changed").alias("changed"))
     total = covered.groupBy("doc_id", "item_id", "family").agg((F.count("*") / F.max("length")).alias("coverage"), F.max("changed").alias("rewritten"))
     best = total.where(F.col("coverage") >= coverage).groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", (~F.col("rewritten")).alias("plain"))).alias("b"))

@@ -203,3 +203,13 @@ def test_license_variants_and_full_texts(spark):
     ids = sorted({n.removesuffix("-full") for n in full} | {"CC-BY-ND-4.0", "AGPL-3.0", "EPL-2.0", "CC-BY-NC-SA-4.0"}, key=len, reverse=True)
     got = {i: {next((x for x in ids if r.license == x or r.license.startswith(x + "-")), r.license) for r in found if r.doc_id == i} for i, _, _ in cases}
     assert got == {i: w for i, _, w in cases}
+
+
+@pytest.mark.parametrize("limit", [decontaminate.FILTER_WINDOWS, 0])
+def test_numbers_are_found_verbatim(spark, limit):
+    sums, short = "What is 12 + 35 + 7 + 18 + 4 + 6?", "1 2 3 4"
+    mixed = "the list of all figures follows here now: 4 8 15 16 23 42 77 91 20 31 65 12"
+    bench = spark.createDataFrame([(1, sums), (2, short), (3, mixed)], "item_id int, text string")
+    docs = table(spark, [(1, "so " + sums + " yes", None), (2, "What is 13 + 36 + 8 + 19 + 5 + 7?", None), (3, "x " + short + " y", None), (4, mixed, None), (5, "5 6 7 8 9 10 11 12 13", None)])
+    got = {(r.doc_id, r.item_id): (r.coverage, r.rewritten) for r in decontaminate.matches(docs, bench, filter_windows=limit).collect()}
+    assert got == {(1, 1): (1.0, False), (3, 2): (1.0, False), (4, 3): (1.0, False)}
