@@ -213,3 +213,9 @@ def test_numbers_are_found_verbatim(spark, limit):
     docs = table(spark, [(1, "so " + sums + " yes", None), (2, "What is 13 + 36 + 8 + 19 + 5 + 7?", None), (3, "x " + short + " y", None), (4, mixed, None), (5, "5 6 7 8 9 10 11 12 13", None)])
     got = {(r.doc_id, r.item_id): (r.coverage, r.rewritten) for r in decontaminate.matches(docs, bench, filter_windows=limit).collect()}
     assert got == {(1, 1): (1.0, False), (3, 2): (1.0, False), (4, 3): (1.0, False)}
+
+
+def test_repeated_lines_are_all_reported(spark):
+    lines = "All rights reserved.\n" * 7
+    got = sorted((r.start, r.end) for r in license_scan.scan(table(spark, [(1, lines, None)])).collect())
+    assert got == [(21 * i, 21 * i + 19) for i in range(7)]
