@@ -18,8 +18,6 @@ from loomquery.schema import Metric
 
 #: Rows below which a scan is better than an index.
 LEAST_ROWS = 10_000
-#: k-means is fitted on at most so many rows, drawn evenly; all rows are then assigned.
-FIT_ROWS = 1_000_000
 #: Vectors without a direction, which cosine clusters can't hold; always opened.
 CATCH_ALL = -1
 
@@ -60,8 +58,7 @@ def fit(rows: DataFrame, k: int | None = None, metric: Metric = Metric.COSINE, i
     cosine = metric is Metric.COSINE
     usable = rows.where(V.norm(F.col("vector")) > 0) if cosine else rows
     features = usable.select("id", "vector", array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
-    sample = features if n <= FIT_ROWS else features.sample(FIT_ROWS / n, seed)
-    model = KMeans(k=k, initMode="random", maxIter=iterations, seed=seed, distanceMeasure="cosine" if cosine else "euclidean").fit(sample)
+    model = KMeans(k=k, initMode="random", maxIter=iterations, seed=seed, distanceMeasure="cosine" if cosine else "euclidean").fit(features)
     centroids = np.array(model.clusterCenters())
     placed = model.transform(features).select("id", "vector", F.col("prediction").alias("cluster"))
     placed = rows.join(placed.select("id", "cluster"), "id", "left").select("id", "vector", F.coalesce("cluster", F.lit(CATCH_ALL)).alias("cluster")) if cosine else placed

@@ -107,3 +107,13 @@ def test_ivf(spark):
     assert knn.recall(batch, knn.batch_knn(table, [(1, v[1]), (2, v[2])], 3, Metric.EUCLIDEAN)).first()[0] == 1
     assert [ivf.cluster_count(n) for n in (4, 100, 1_000_000)] == [4, 16, 1000]
     assert not ivf.use_index(9_999) and ivf.use_index(10_000)
+
+
+def test_kmeans_is_fitted_on_all_rows(spark, monkeypatch):
+    import numpy as np
+
+    v = np.random.default_rng(5).normal(size=(300, 6))
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vector array<double>")
+    whole, _ = ivf.fit(table, k=4)
+    monkeypatch.setattr(ivf, "FIT_ROWS", 50, raising=False)
+    assert np.array_equal(ivf.fit(table, k=4)[0].centroids, whole.centroids)
