@@ -189,13 +189,15 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE,
     alike = W.partitionBy("fp1", "fp2")
     ranked = sigs.select("doc_id", "fp1", "fp2").distinct().withColumn("rep", F.min("doc_id").over(alike))
     same = materialise(ranked.where("doc_id <> rep").select("doc_id", "rep").distinct(), "same")
-    first = sigs.join(sized(same.select(F.col("doc_id").alias("gone")), 16), F.col("doc_id") == F.col("gone"), "left_anti")
+    # by row: an id may have other texts, whose signatures stay
+    gone = ranked.where("doc_id <> rep").select(F.col("doc_id").alias("gone"), F.col("fp1").alias("gone1"), F.col("fp2").alias("gone2"))
+    first = sigs.join(sized(gone, 32), (F.col("doc_id") == F.col("gone")) & (F.col("fp1") == F.col("gone1")) & (F.col("fp2") == F.col("gone2")), "left_anti")
     bucket = W.partitionBy("band")
     members = first.select("doc_id", F.explode("bands").alias("band")).select("*", F.min("doc_id").over(bucket).alias("hub"), F.max("doc_id").over(bucket).alias("high"))
     members = materialise(members.where("hub <> high").select("doc_id", "band", "hub"), "buckets")
     star = materialise(members.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "star")
     checked = materialise(similarities(docs, star, k), "checked")
-    good = checked.where(F.col("similarity") >= threshold).select("a", "b")
+    good = checked.where(F.col("similarity") >= threshold).select("a", "b").unionByName(same.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
     labels = components(good)
     # what the first round left open: pairs of one bucket in different groups
     named = members.join(labels, members["doc_id"] == labels["id"], "left").select("doc_id", "band", F.coalesce("root", "doc_id").alias("root"))
@@ -219,8 +221,7 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE,
     if not more.isEmpty():
         found = similarities(docs, more, k).where(F.col("similarity") >= threshold).select("a", "b")
         labels = components(good.unionByName(found))
-    ends = same.join(labels, same["rep"] == labels["id"], "left").select("doc_id", F.coalesce("root", "rep").alias("keep_id"))
-    return ends.unionByName(labels.select(F.col("id").alias("doc_id"), F.col("root").alias("keep_id"))).where("doc_id <> keep_id").groupBy("doc_id").agg(F.min("keep_id").alias("keep_id"))
+    return labels.select(F.col("id").alias("doc_id"), F.col("root").alias("keep_id")).where("doc_id <> keep_id").groupBy("doc_id").agg(F.min("keep_id").alias("keep_id"))
 
 
 def near_deduplicate(docs: DataFrame, **options) -> DataFrame:

@@ -147,6 +147,14 @@ def test_cross_pairs_join_groups(spark):
     assert got == brute_groups(pairs, 0.65)
 
 
+def test_repeated_ids_keep_their_other_texts(spark):
+    r = random.Random(4)
+    a, b = words(r, 80), words(r, 80)
+    pairs = [(3, a), (7, a), (7, b), (9, b + " and more")]
+    got = {x.doc_id: x.keep_id for x in near_dedup.near_groups(rows(spark, pairs)).collect()}
+    assert got == brute_groups(pairs, near_dedup.THRESHOLD) == {7: 3, 9: 3}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 30)] + [(50, 41), (41, 60), (7, 7)]
     got = {r.id: r.root for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
