@@ -14,10 +14,12 @@ from loomquery.sources.scratch import scratch
 
 #: Characters of text that a kernel handles at once; longer texts are a block of their own.
 BLOCK_CHARS = 1 << 19
-#: Rows of a batch that Spark hands to Python.
-BATCH_ROWS = 2000
 #: A side of a join is broadcast only if it was counted and is estimated to be at most this large.
 BROADCAST_BYTES = 32 << 20
+#: What an id takes in a broadcast table.
+ID_BYTES = 16
+#: Bits of a filter: at most 32 MB.
+MOST_BITS = 1 << 28
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -28,14 +30,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Let the session hand texts to Python in batches of at most BATCH_ROWS rows: a worker then holds little besides the
-    block it works on. A lower setting stays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, BATCH_ROWS)
-
-
 def sized(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df, marked for broadcast if its counted rows fit the limit; otherwise Spark shuffles both sides."""
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
@@ -49,11 +43,67 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def without(docs: DataFrame, drop: DataFrame, row_bytes: int = 16) -> DataFrame:
-    """The rows of docs whose doc_id isn't in drop (one column, doc_id); null ids stay."""
+class Bloom:
+    """A filter of at most ``MOST_BITS`` bits, whatever the number of keys: 64-bit hashes that it holds always pass, of
+    others few (1.4 % at 16 bits a key, more where the bound makes them fewer)."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.bits = words, len(words).bit_length() + 5
+
+    @classmethod
+    def of(cls, hashes: DataFrame, n: int) -> Bloom:
+        """Of the one column of hashes, about n different ones; the bits are gathered by words, at most 4 M of them."""
+        bits = int(min(MOST_BITS, max(1 << 10, 16 * n))).bit_length() - 1
+        h = F.col(hashes.columns[0])
+        places = hashes.select(F.explode(F.array(h.bitwiseAND(F.lit((1 << bits) - 1)), F.shiftrightunsigned(h, 64 - bits))).alias("at"))
+        word = F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("word")
+        got = places.groupBy(F.shiftright("at", 6).alias("i")).agg(word).toArrow()
+        words = np.zeros(1 << bits - 6, np.uint64)
+        words[got.column("i").to_numpy()] = got.column("word").to_numpy().view(np.uint64)
+        return cls(words)
+
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        """Whether each hash may be among the keys."""
+        out = np.ones(len(h), bool)
+        for at in (h & np.uint64((1 << self.bits) - 1), h >> np.uint64(64 - self.bits)):
+            out &= (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return out
+
+
+def possible(docs: DataFrame, ids: DataFrame, n: int) -> Column:
+    """Whether the doc_id of a row of docs may be among ids (one column, n rows); only hashes go to Python."""
+    column = F.col(ids.columns[0])
+    shared = docs.sparkSession.sparkContext.broadcast(Bloom.of(ids.select(F.xxhash64(column)), n))
+
+    @F.arrow_udf("boolean")
+    def test(h: pa.Array) -> pa.Array:
+        return pa.array(shared.value.holds(h.to_numpy(zero_copy_only=False).view(np.uint64)))
+
+    return test(F.xxhash64(F.col("doc_id").cast(ids.schema[0].dataType)))
+
+
+def within(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is among ids (one column). Where ids are too many to be broadcast, a filter of
+    bounded size goes before the shuffle, so that hardly any other text moves."""
+    key = fresh(docs, "some_id")
+    n, side = ids.count(), ids.select(F.col(ids.columns[0]).alias(key))
+    if n * ID_BYTES <= BROADCAST_BYTES:
+        return docs.join(F.broadcast(side), docs["doc_id"] == side[key], "left_semi")
+    some = docs.where(possible(docs, side, n))
+    return some.join(side, some["doc_id"] == side[key], "left_semi")
+
+
+def without(docs: DataFrame, drop: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id isn't in drop (one column, doc_id); null ids stay. Texts of rows that a filter of
+    bounded size clears don't move."""
     key = fresh(docs, "drop_id")
-    side = sized(drop.select(F.col("doc_id").alias(key)), row_bytes)
-    return docs.join(side, docs["doc_id"] == side[key], "left_anti")
+    n, side = drop.count(), drop.select(F.col("doc_id").alias(key))
+    if n * ID_BYTES <= BROADCAST_BYTES:
+        return docs.join(F.broadcast(side), docs["doc_id"] == side[key], "left_anti")
+    maybe = fresh(docs, "maybe")
+    marked = docs.withColumn(maybe, possible(docs, side, n))
+    rest = marked.where(F.col(maybe)).drop(maybe)
+    return marked.where(~F.col(maybe)).drop(maybe).unionByName(rest.join(side, rest["doc_id"] == side[key], "left_anti"))
 
 
 def pieces(batch: pa.RecordBatch, column: str, chars: int = BLOCK_CHARS) -> Iterator[pa.RecordBatch]:
@@ -78,7 +128,6 @@ def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None
                 if out is not None and out.num_rows:
                     yield out
 
-    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -8,8 +8,8 @@ half of the sample set for a text of that length, in which case the document is
 
 Defined cases: null or letterless text is rejected with a null language and score; rows with a null ``lang`` or
 ``doc_id`` aren't trained on but are scored; without any labelled row all documents are rejected; a tie goes to the
-language first in alphabetical order; repeated rows are scored alike; other columns are ignored by ``identify``
-and kept by ``keep_identified``.
+language first in alphabetical order; repeated rows are scored alike; very long texts are scored whole, in one block of
+about 60 bytes a character; other columns are ignored by ``identify`` and kept by ``keep_identified``.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import kernels as K
-from .common import map_text, pieces, read, signed, small_batches, texts_of
+from .common import map_text, pieces, read, signed, texts_of
 
 ORDER = 5
 TRAIN_DOCS = 400
@@ -37,7 +37,9 @@ _BLANK = np.uint64(32)
 
 
 def sequence(block: K.Block) -> tuple[np.ndarray, np.ndarray]:
-    """12-bit codes of the lower-cased letters, anything else between them as one blank; their owners."""
+    """12-bit codes of the lower-cased letters, anything else between them as one blank; their owners. Letters beyond
+    U+0FFF are folded into the 12 bits, so that five fit into an integer; those that share a code are one letter to the
+    models (of Han, about five a code)."""
     kind, lower, _ = K.tables()
     k = kind[block.cps]
     letter = (k == K.LETTER) | (k == K.MARK)
@@ -198,16 +200,15 @@ def train(docs: DataFrame, order: int = ORDER, train_docs: int = TRAIN_DOCS, cal
         lang, row = lang[use], entropy[use, lang[use]]
         return pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(chars[use], pa.int64()), pa.array(row), pa.array(square[use, lang])], ["lang", "n", "entropy", "square"])
 
-    # the training half is scored too, and used only for a language that has no held-out row
     held = map_text(sample.select("lang", "text", "h", "first").where("h > first").select("lang", "text"), score, "lang int, n long, entropy double, square double").toArrow()
-    if held.num_rows == 0:
+    if held.num_rows == 0:  # so few rows that none is held out
         held = map_text(sample.select("lang", "text"), score, "lang int, n long, entropy double, square double").toArrow()
     shared.unpersist()
     lang, chars, entropy, square = (held.column(c).to_numpy() for c in ("lang", "n", "entropy", "square"))
     k = len(languages)
     model.mean, model.within, model.between, model.limit = np.zeros(k), np.ones(k), np.ones(k), np.full(k, LEAST_LIMIT)
     for j in range(k):
-        own = lang == j if (lang == j).any() else np.ones(len(lang), bool)
+        own = lang == j if (lang == j).any() else np.ones(len(lang), bool)  # a language without held-out rows: all of them
         n, e = chars[own], entropy[own]
         if not len(n):
             continue
@@ -261,7 +262,6 @@ def keep_identified(docs: DataFrame, model: Model | None = None, **options) -> D
                 if keep.any():
                     yield part.filter(pa.array(keep)).select(names)
 
-    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 

@@ -6,7 +6,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from loomquery.llm import exact_dedup, near_dedup
+from pyspark.sql import functions as F
+
+from loomquery.llm import common, exact_dedup, near_dedup
 from loomquery.llm import kernels as K
 
 SCHEMA = "doc_id long, text string, lang string, key long, ids string, band long, drop_id long, n int"
@@ -147,6 +149,51 @@ def test_cross_pairs_join_groups(spark):
     assert got == brute_groups(pairs, 0.65)
 
 
+def test_blocks_give_all_pairs(spark):
+    """Members of mixed buckets meet whatever the size of the blocks, in copies that no pair of one root is in."""
+    r = np.random.default_rng(6)
+    sketch = r.integers(0, 3, (60, 8)).astype("<u2")
+    members = spark.createDataFrame([(i, b) for i in range(60) for b in (1, 2 + i % 2)], "doc_id long, band long")
+    labels = spark.createDataFrame([(i, i // 7) for i in range(60)], "id long, root long")
+    sketches = spark.createDataFrame([(i, sketch[i].tobytes()) for i in range(60)], "doc_id long, sketch binary")
+    want = {(i, j) for i, j in itertools.combinations(range(60), 2) if i // 7 != j // 7 and (sketch[i] == sketch[j]).mean() >= 0.5}
+    for block in (5, 1000):
+        got = [tuple(x) for x in near_dedup.open_pairs(members, labels, sketches, 0.5, 8, block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_hot_bucket_of_near_copies(spark):
+    """One group of many near copies: pairs verified grow with its members, and all are found."""
+    r = random.Random(11)
+    base = words(r, 60).split()
+    pairs = []
+    for i in range(2000):
+        w = list(base)
+        w[i % 60] = words(r, 1)
+        pairs.append((i, " ".join(w)))
+    got = {x.doc_id: x.keep_id for x in near_dedup.near_groups(rows(spark, pairs)).collect()}
+    assert got == {i: 0 for i in range(1, 2000)}
+
+
+def test_long_text(spark):
+    r = random.Random(12)
+    long = words(r, 120_000)
+    got = {x.doc_id: x.keep_id for x in near_dedup.near_groups(rows(spark, [(1, long), (2, long + " a tail of words"), (3, words(r, 50))])).collect()}
+    assert got == {2: 1}
+
+
+def test_filters_of_ids_too_many_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    docs = rows(spark, [(i if i else None, str(i)) for i in range(500)])
+    ids = spark.range(0, 1000, 3).select(F.col("id").cast("int").alias("doc_id"))
+    assert sorted(x.doc_id for x in common.within(docs, ids).collect()) == [i for i in range(3, 500, 3)]
+    left = common.without(docs, ids)
+    assert left.columns == docs.columns and sorted(x.doc_id or 0 for x in left.collect()) == [0] + [i for i in range(1, 500) if i % 3]
+    bloom = common.Bloom.of(spark.range(5000).select(F.xxhash64("id")), 5000)
+    h = np.array([x[0] for x in spark.range(20_000).select(F.xxhash64("id")).collect()]).view(np.uint64)
+    assert bloom.holds(h[:5000]).all() and bloom.holds(h[5000:]).mean() < 0.05
+
+
 def test_repeated_ids_keep_their_other_texts(spark):
     r = random.Random(4)
     a, b = words(r, 80), words(r, 80)
