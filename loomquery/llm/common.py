@@ -16,8 +16,8 @@ from loomquery.sources.scratch import scratch
 BLOCK_CHARS = 1 << 19
 #: A side of a join is broadcast only if it was counted and is estimated to be at most this large.
 BROADCAST_BYTES = 32 << 20
-#: What an id takes in a broadcast table.
-ID_BYTES = 16
+#: What a row takes in a broadcast table besides its values, and what an id takes.
+ROW_BYTES, ID_BYTES = 32, 16
 #: Bits of a filter: at most 32 MB.
 MOST_BITS = 1 << 28
 
@@ -30,9 +30,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sized(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df, marked for broadcast if its counted rows fit the limit; otherwise Spark shuffles both sides."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+def small(n: int, row_bytes: int) -> bool:
+    """Whether n rows of so many bytes of values may be broadcast; a hash table takes ROW_BYTES a row besides."""
+    return n * (ROW_BYTES + row_bytes) <= BROADCAST_BYTES
+
+
+def sized(df: DataFrame, row_bytes: int) -> DataFrame:
+    """df, marked for broadcast if its counted rows are small; otherwise Spark shuffles both sides."""
+    return F.broadcast(df) if small(df.count(), row_bytes) else df
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -70,26 +75,33 @@ class Bloom:
         return out
 
 
-def possible(docs: DataFrame, ids: DataFrame, n: int) -> Column:
-    """Whether the doc_id of a row of docs may be among ids (one column, n rows); only hashes go to Python."""
-    column = F.col(ids.columns[0])
-    shared = docs.sparkSession.sparkContext.broadcast(Bloom.of(ids.select(F.xxhash64(column)), n))
+def possible(key: Column, known: DataFrame, n: int) -> Column:
+    """Whether a key may be among those known (one column of the key's type, n rows); only hashes go to Python."""
+    shared = known.sparkSession.sparkContext.broadcast(Bloom.of(known.select(F.xxhash64(F.col(known.columns[0]))), n))
 
     @F.arrow_udf("boolean")
     def test(h: pa.Array) -> pa.Array:
         return pa.array(shared.value.holds(h.to_numpy(zero_copy_only=False).view(np.uint64)))
 
-    return test(F.xxhash64(F.col("doc_id").cast(ids.schema[0].dataType)))
+    return test(F.xxhash64(key))
+
+
+def meeting(rows: DataFrame, side: DataFrame, on: str, row_bytes: int) -> DataFrame:
+    """rows joined with side, a row a key. Where side is too large to be broadcast, a filter of bounded size goes before
+    the shuffle, so that hardly any rows move that meet nothing."""
+    n = side.count()
+    if small(n, row_bytes):
+        return rows.join(F.broadcast(side), on)
+    return rows.where(possible(F.col(on), side.select(on), n)).join(side, on)
 
 
 def within(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is among ids (one column). Where ids are too many to be broadcast, a filter of
-    bounded size goes before the shuffle, so that hardly any other text moves."""
+    """The rows of docs whose doc_id is among ids (one column); filtered before a shuffle as in ``meeting``."""
     key = fresh(docs, "some_id")
-    n, side = ids.count(), ids.select(F.col(ids.columns[0]).alias(key))
-    if n * ID_BYTES <= BROADCAST_BYTES:
+    n, side = ids.count(), ids.select(F.col(ids.columns[0]).cast(docs.schema["doc_id"].dataType).alias(key))
+    if small(n, ID_BYTES):
         return docs.join(F.broadcast(side), docs["doc_id"] == side[key], "left_semi")
-    some = docs.where(possible(docs, side, n))
+    some = docs.where(possible(F.col("doc_id"), side, n))
     return some.join(side, some["doc_id"] == side[key], "left_semi")
 
 
@@ -97,11 +109,11 @@ def without(docs: DataFrame, drop: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id isn't in drop (one column, doc_id); null ids stay. Texts of rows that a filter of
     bounded size clears don't move."""
     key = fresh(docs, "drop_id")
-    n, side = drop.count(), drop.select(F.col("doc_id").alias(key))
-    if n * ID_BYTES <= BROADCAST_BYTES:
+    n, side = drop.count(), drop.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias(key))
+    if small(n, ID_BYTES):
         return docs.join(F.broadcast(side), docs["doc_id"] == side[key], "left_anti")
     maybe = fresh(docs, "maybe")
-    marked = docs.withColumn(maybe, possible(docs, side, n))
+    marked = docs.withColumn(maybe, possible(F.col("doc_id"), side, n))
     rest = marked.where(F.col(maybe)).drop(maybe)
     return marked.where(~F.col(maybe)).drop(maybe).unionByName(rest.join(side, rest["doc_id"] == side[key], "left_anti"))
 

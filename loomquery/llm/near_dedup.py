@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import lists, map_text, materialise, read, signed, sized, texts_of, within, without
+from .common import lists, map_text, materialise, meeting, read, signed, sized, texts_of, within, without
 
 SHINGLE = 3
 #: A pair at the threshold shares a band with probability 1 - (1 - 0.5**4)**48 = 0.955, at 0.6 with 0.999.
@@ -170,7 +170,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def similarities(docs: DataFrame, pairs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """(a, b, similarity) of the pairs; each text of a pair is shingled once."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     used = within(docs.where("text is not null").select("doc_id", "text"), ids)
     sets = materialise(weighted(used, k).dropDuplicates(["doc_id", "hs", "ns"]), "shingle-sets")
     a, b = (sets.select(F.col("doc_id").alias(s), F.col("hs").alias(f"{s}_hs"), F.col("ns").alias(f"{s}_ns")) for s in "ab")
@@ -233,7 +233,7 @@ def open_pairs(members: DataFrame, labels: DataFrame, sketches: DataFrame, least
     kind = members.schema["doc_id"].dataType.simpleString()
     named = materialise(members.join(labels, members["doc_id"] == labels["id"], "left").select("doc_id", "band", F.coalesce("root", "doc_id").alias("root")), "roots")
     mixed = named.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("band", "n")
-    rows = materialise(named.join(sized(mixed, 24), "band"), "mixed")
+    rows = materialise(meeting(named, materialise(mixed, "mixed-bands"), "band", 16), "mixed")
     sketched = rows.join(within(sketches, rows.select("doc_id").distinct()), "doc_id")
     parts = F.ceil(F.col("n") / F.lit(block)).cast("int")
     placed = sketched.select("band", "doc_id", "root", "sketch", parts.alias("parts"), F.pmod(F.xxhash64("doc_id"), parts).cast("int").alias("own"))
@@ -271,7 +271,7 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE,
     each = first.select("doc_id", F.explode("bands").alias("band"))
     # a row a task and bucket is all that goes to the bucket; most buckets are of one member and end here
     hubs = materialise(each.groupBy("band").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("most")).where("hub <> most").drop("most"), "hubs")
-    members = materialise(each.join(sized(hubs, 24), "band"), "buckets")
+    members = materialise(meeting(each, hubs, "band", 16), "buckets")
     star = materialise(members.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "star")
     checked = similarities(docs, star, k).where(F.col("similarity") >= threshold).select("a", "b")
     good = materialise(checked.unionByName(same.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))), "links")
