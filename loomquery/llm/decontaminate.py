@@ -3,15 +3,21 @@
 Texts become tokens: lower-cased words, with typed placeholders for numbers (digits and number words), units (symbols,
 and unit words after a number) and, in the first of two families of templates, names (capitalised words); in the second
 family names stay words, so that a leak in another letter case is met too. A third family holds the values of the
-windows that the templates drop, those that are mostly placeholders. Windows of ``WINDOW`` template tokens of the documents are hash-joined with those of the benchmark items. On each diagonal (document less item position) the slot
-values must map consistently both ways: the same value of the item always became the same value of the document. A
-document is contaminated by an item if consistent diagonals cover at least ``COVERAGE`` of the item's tokens; it is
-``rewritten`` if a slot has another value there.
+windows that the templates drop, those that are mostly placeholders. Windows of ``WINDOW`` template tokens of the
+documents pass a filter of bounded size, whatever the number of items, and are hash-joined with those of the benchmark
+items; pairs of document and item whose windows couldn't cover enough of the item end there. On each diagonal (document
+less item position) the slot values must map consistently both ways: the same value of the item always became the same
+value of the document. A document is contaminated by an item if consistent diagonals cover at least ``COVERAGE`` of the
+item's tokens; it is ``rewritten`` if a slot has another value there.
+
+Number and unit words are those of English, German, French and Spanish.
 
 Defined cases: items shorter than a window are one window of their own length; windows that are mostly placeholders
-count only verbatim; null, empty or wordless texts and items match nothing; items without an id and documents without a ``doc_id``
-are not reported, and such documents stay; rows that share a ``doc_id`` are judged together; repeated items are
-judged by id; an empty benchmark leaves all documents; other columns are kept by ``decontaminate``.
+count only verbatim; null, empty or wordless texts and items match nothing; items without an id and documents without a
+``doc_id`` are not reported, and such documents stay; rows that share a ``doc_id`` are judged together; repeated rows
+change nothing; repeated items are judged by id; of several ways to cover an item the greatest coverage is reported, a
+verbatim one before a rewritten one; a very long text is one block of about 100 bytes a character; empty tables match
+nothing, and an empty benchmark leaves all documents; other columns, whatever their names, are kept by ``decontaminate``.
 """
 
 from __future__ import annotations
@@ -24,20 +30,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import lists, map_text, materialise, read, signed, texts_of, without
+from .common import Bloom, lists, map_text, materialise, read, signed, sized, texts_of, without
 
 WINDOW = 8
 COVERAGE = 0.5
 #: Slots that agree with the mapping of their diagonal, as a share of its slots.
 CONSISTENT = 0.8
-#: Benchmark windows up to this many are sent to the workers as a filter (12 bytes each); beyond, all windows of the
-#: documents are joined by a shuffle.
-FILTER_WINDOWS = 4_000_000
 LITERAL, NUM, UNIT, NAME = range(4)
 #: The family of windows of values.
 VERBATIM = 2
-_NUMBER_WORDS = "zero two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half twice thrice"
+_NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half twice thrice"
+_NUMBER_WORDS += " null eins zwei drei vier fünf sechs sieben acht neun zehn elf zwölf zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend million millionen milliarde"
+_NUMBER_WORDS += " deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt trente quarante cinquante soixante cent mille millions milliard uno dos tres cuatro cinco seis siete ocho nueve diez doce trece catorce veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien mil millones"
 _UNIT_WORDS = "mm cm m km kilometer kilometers kilometre kilometres meter meters metre metres inch inches ft foot feet yard yards mile miles mg g kg gram grams kilogram kilograms lb lbs pound pounds ounce ounces oz ton tons tonnes ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years mph kmh hz khz mhz ghz w kw mw v kv a j kj cal kcal percent dollar dollars cent cents euro euros usd eur gbp yen degree degrees kelvin celsius fahrenheit"
+_UNIT_WORDS += " zentimeter kilogramm gramm sekunden minuten stunde stunden tag tage woche wochen monat monate jahr jahre prozent grad secondes heure heures jour jours semaine semaines mois an ans pourcent centimes segundos minutos hora horas día días semana semanas mes meses año años metros kilómetros gramos litros por ciento grados céntimos dólares"
 _SYMBOLS = [ord(c) for c in "%$€£¥°‰"]
 _PLACE = K.mix(np.arange(1, 5, dtype=np.uint64) * np.uint64(0x5851F42D4C957F2D))
 
@@ -147,23 +153,19 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return map_text(benchmark.where("item_id is not null and text is not null").select("item_id", "text"), run, f"item_id {kind}, {_COLUMNS}")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, consistent: float = CONSISTENT, filter_windows: int = FILTER_WINDOWS) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, consistent: float = CONSISTENT) -> DataFrame:
     """(doc_id, item_id, coverage, rewritten) of each contaminated document and the item it holds."""
     items = materialise(item_windows(benchmark, window), "item-windows")
     sizes = sorted(r.size for r in items.select("size").distinct().collect())
-    small = items.count() <= filter_windows
-    known = None
-    if small:
-        h = items.select("hash").distinct().toArrow().column("hash").to_numpy().view(np.uint64)
-        known = docs.sparkSession.sparkContext.broadcast(K.SortedHash(h))
+    known = docs.sparkSession.sparkContext.broadcast(Bloom.of(items.select("hash"), items.count()))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch | None:
         value, type_, owner = tokens(K.Block(texts_of(part)))
         found = []
         for family, size, at, h in template_windows(value, type_, owner, sizes):
-            hit = known.value.find(h) >= 0 if known else slice(None)
-            if len(at[hit]):
+            hit = known.value.holds(h)
+            if hit.any():
                 found.append((family, size, at[hit], h[hit]))
         return _rows(part.column("doc_id"), found, value, type_, owner, "doc_id")
 
@@ -171,6 +173,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverag
     hits = map_text(rows, run, f"doc_id {kind}, {_COLUMNS}").select("doc_id", "family", "size", "hash", F.col("pos").alias("at"), F.col("shapes").alias("doc_shapes"), F.col("vals").alias("doc_vals"))
     joined = hits.join(items, ["family", "size", "hash"]).where(F.col("shapes") == F.col("doc_shapes"))
     joined = materialise(joined, "window-hits")
+    # windows that together are shorter than the share of the item can't cover it
+    enough = joined.groupBy("doc_id", "item_id").agg(F.sum("size").alias("most"), F.max("length").alias("of")).where(F.col("most") >= coverage * F.col("of")).select("doc_id", "item_id")
+    joined = joined.join(sized(materialise(enough, "window-pairs"), 32), ["doc_id", "item_id"], "left_semi")
     aligned = joined.select("doc_id", "item_id", "family", (F.col("at") - F.col("pos")).alias("diagonal"), "length", "pos", F.posexplode(F.arrays_zip("shapes", "vals", "doc_vals")).alias("j", "t"))
     keys = ["doc_id", "item_id", "family", "diagonal"]
     slot = F.col("shape") != LITERAL

@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from loomquery.llm import decontaminate, langid, license_scan
+from loomquery.llm import common, decontaminate, langid, license_scan
 from loomquery.llm import kernels as K
 
 DATA = "/root/testdata/sf0.001"
@@ -126,11 +126,13 @@ LEAKS = [
 ]
 
 
-@pytest.mark.parametrize("limit", [decontaminate.FILTER_WINDOWS, 0])
-def test_decontamination(spark, limit):
+@pytest.mark.parametrize("bits", [common.MOST_BITS, 1 << 10])
+def test_decontamination(spark, bits, monkeypatch):
+    """The same with a filter that all windows pass, nearly."""
+    monkeypatch.setattr(common, "MOST_BITS", bits)
     bench = spark.createDataFrame([(i, t, 1) for i, t in ITEMS], "item_id int, text string, doc_id int")
     docs = table(spark, [(i, t, None) for i, t, _ in LEAKS])
-    got = {(r.doc_id, r.item_id): r.rewritten for r in decontaminate.matches(docs, bench, filter_windows=limit).collect()}
+    got = {(r.doc_id, r.item_id): r.rewritten for r in decontaminate.matches(docs, bench).collect()}
     assert got == {(d, i): w for d, _, items in LEAKS for i, w in items.items()}
     left = decontaminate.decontaminate(docs, bench)
     assert left.columns == docs.columns
@@ -139,6 +141,62 @@ def test_decontamination(spark, limit):
     assert decontaminate.matches(docs.limit(0), bench).collect() == []
 
 
+def brute_leaks(docs, items):
+    """(doc, item) -> rewritten of whole items standing in documents with other values in their slots: every alignment of
+    an item, word by word, with slots mapped both ways one to one."""
+    import re
+
+    numbers, units = set(decontaminate._NUMBER_WORDS.split()), set(decontaminate._UNIT_WORDS.split())
+
+    def cut(text):
+        out = []
+        for w in re.findall(r"\d+(?:[.,]\d+)*|[^\W\d_]+", text):
+            low, number = w.lower(), w[0].isdigit()
+            unit = bool(out) and out[-1][1] == 1 and low in units
+            kind = 1 if number or low in numbers else 2 if unit else 3 if w[0].isupper() and not w[1:2].isupper() else 0
+            out.append((low.replace(",", "").replace(".", "") if number else low, kind))
+        return out
+
+    found = {}
+    for d, text in docs:
+        own = cut(text)
+        for i, item in items:
+            want = cut(item)
+            for at in range(len(own) - len(want) + 1):
+                pairs = [(a, b) for a, b in zip(want, own[at:])]
+                if all(a[1] == b[1] and (a[1] or a[0] == b[0]) for a, b in pairs):
+                    slots = {(a[1], a[0], b[0]) for a, b in pairs if a[1]}
+                    if len(slots) == len({x[:2] for x in slots}) == len({(x[0], x[2]) for x in slots}):
+                        found[d, i] = found.get((d, i), True) and any(x[1] != x[2] for x in slots)
+    return found
+
+
+def test_rewritten_items_by_brute_force(spark):
+    """Items of several numbers, names and units, verbatim, rewritten consistently and not, among prose and very long texts."""
+    r = random.Random(21)
+    words = "the red train goes to a town and takes many boxes with it when it rains on some days of spring but not always".split()
+    names, units = "Anna Bob Carl Dora Emil Fay Gus Hana".split(), "km kg hours dollars miles".split()
+    items, docs = [], []
+    for i in range(12):
+        t = [r.choice(words) for _ in range(14)]
+        for at in (2, 6, 10):
+            t[at] = r.choice(names)
+        t[4], t[5], t[12] = str(r.randint(2, 99)), r.choice(units), str(r.randint(2, 99))
+        items.append((i, " ".join(t)))
+        for c in range(3):  # verbatim, rewritten, at random
+            new = dict(zip(r.sample(names, 8), r.sample(names, 8)))
+            number = {x: str(r.randint(100, 999)) for x in {t[4], t[12]}}
+            u = t if c == 0 else [new.get(x, number.get(x, x)) for x in t] if c == 1 else [r.choice(names) if x in names else str(r.randint(100, 999)) if x.isdigit() else x for x in t]
+            filler = lambda n: " ".join(r.choice(words) for _ in range(n))
+            docs.append((len(docs), filler(5) + " " + " ".join(u) + " " + filler(20_000 if i == 0 else 7)))
+    want = {k: w for k, w in brute_leaks(docs, items).items()}
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    got = {(x.doc_id, x.item_id): x.rewritten for x in decontaminate.matches(table(spark, [(i, t, None) for i, t in docs]), bench).collect()}
+    assert {k: got.get(k) for k in want} == want and len(want) >= 24
+    wrong = {k for k in got if k not in want}
+    assert all(k[0] % 3 == 2 and k[0] // 3 == k[1] for k in wrong)  # inconsistent in some slots only: partly covered
+
+
 @needs_data
 def test_benchmark_passages_are_found(spark):
     import re
@@ -205,13 +263,12 @@ def test_license_variants_and_full_texts(spark):
     assert got == {i: w for i, _, w in cases}
 
 
-@pytest.mark.parametrize("limit", [decontaminate.FILTER_WINDOWS, 0])
-def test_numbers_are_found_verbatim(spark, limit):
+def test_numbers_are_found_verbatim(spark):
     sums, short = "What is 12 + 35 + 7 + 18 + 4 + 6?", "1 2 3 4"
     mixed = "the list of all figures follows here now: 4 8 15 16 23 42 77 91 20 31 65 12"
     bench = spark.createDataFrame([(1, sums), (2, short), (3, mixed)], "item_id int, text string")
     docs = table(spark, [(1, "so " + sums + " yes", None), (2, "What is 13 + 36 + 8 + 19 + 5 + 7?", None), (3, "x " + short + " y", None), (4, mixed, None), (5, "5 6 7 8 9 10 11 12 13", None)])
-    got = {(r.doc_id, r.item_id): (r.coverage, r.rewritten) for r in decontaminate.matches(docs, bench, filter_windows=limit).collect()}
+    got = {(r.doc_id, r.item_id): (r.coverage, r.rewritten) for r in decontaminate.matches(docs, bench).collect()}
     assert got == {(1, 1): (1.0, False), (3, 2): (1.0, False), (4, 3): (1.0, False)}
 
 
