@@ -5,8 +5,12 @@ order of the plane above with all zeros first. Planes are stored in blocks, comp
 before each block, so that one file answers token access, counting (rank) and occurrence lookup (select) by opening one
 block a plane. Document boundaries and ids stand in the same file.
 
+Shards are runs of hash values of id and text; a task writes several, each by itself, so a shard needs memory for its own
+tokens only. One document longer than a shard makes its shard as long (4 bytes a token and plane at work).
+
 Defined cases: null and empty texts have no tokens but are listed; documents of one id, or of none, are told apart by
-their text only and keep an arbitrary order among equals; an empty table gives no shard; other columns play no part.
+their text only and keep an arbitrary order among equals; repeated rows are listed as often as they stand; ids that are
+neither strings nor integers are kept as strings in the file; an empty table gives no shard; other columns play no part.
 """
 
 from __future__ import annotations
@@ -14,7 +18,6 @@ from __future__ import annotations
 import builtins
 import json
 import mmap
-import os
 import struct
 import uuid
 from collections.abc import Iterator
@@ -22,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,8 +33,8 @@ from . import kernels as K
 from .bpe import VOCABULARY, encoder
 from .common import map_text, read, texts_of
 
-#: Bytes of text a shard, about.
-SHARD_BYTES = 8 << 20
+#: Bytes of text a shard and a task, about; small shards, so that small tables are divided too.
+SHARD_BYTES, TASK_BYTES = 512 << 10, 8 << 20
 BLOCK_BITS = 1 << 15
 _MAGIC = b"LQWM1\0"
 
@@ -160,17 +164,38 @@ class WaveletMatrix:
             i = self._select(p, bit, i - int(self.zeros[p]) if bit else i)
         return i
 
+    def tokens(self, start: int, end: int) -> np.ndarray:
+        """The tokens at all positions of a range, plane by plane."""
+        if not 0 <= start <= end <= self.n:
+            raise IndexError((start, end))
+        at = np.arange(start, end)
+        out = np.zeros(len(at), np.int64)
+        for p in range(self.bits):
+            bit, ones = np.zeros(len(at), np.uint8), np.zeros(len(at), np.int64)
+            for j in np.unique(at // BLOCK_BITS).tolist():
+                own = np.flatnonzero(at // BLOCK_BITS == j)
+                block = self._block(p, j)
+                rest = at[own] - j * BLOCK_BITS
+                bit[own] = block[rest]
+                ones[own] = self.ones[p, j] + np.append(0, np.cumsum(block, dtype=np.int64))[rest]
+            out = out << 1 | bit
+            at = np.where(bit, self.zeros[p] + ones, at - ones)
+        return out
+
     def document(self, i: int) -> np.ndarray:
         """The tokens of the i-th document of the shard."""
-        return np.array([self.access(j) for j in range(self.doc_starts[i], self.doc_starts[i + 1])], np.int64)
+        return self.tokens(int(self.doc_starts[i]), int(self.doc_starts[i + 1]))
 
 
-def token_shards(docs: DataFrame, vocabulary: str = VOCABULARY, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def token_shards(docs: DataFrame, vocabulary: str = VOCABULARY, shard_bytes: int = SHARD_BYTES, task_bytes: int = TASK_BYTES) -> DataFrame:
     """(shard, n_docs, n_tokens, doc_ids, file) of each shard. Only token ids, two bytes each where the vocabulary allows,
     are shuffled."""
+    if docs.schema["doc_id"].dataType.simpleString() not in ("string", "int", "bigint"):
+        docs = docs.withColumn("doc_id", F.col("doc_id").cast("string"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // shard_bytes))
+    tasks = int(min(n, max(1, -(-total // task_bytes)), 100_000))
     size = encoder(vocabulary).size
     bits = max(1, (size - 1).bit_length())
     width = "<u2" if bits <= 16 else "<u4"
@@ -183,7 +208,7 @@ def token_shards(docs: DataFrame, vocabulary: str = VOCABULARY, shard_bytes: int
 
     placed = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("shard"), "doc_id", "text")
     coded = map_text(placed, run, f"shard int, doc_id {kind}, tokens binary")
-    ordered = coded.repartitionById(int(min(n, 100_000)), F.pmod("shard", F.lit(100_000))).sortWithinPartitions("shard", "doc_id", "tokens")
+    ordered = coded.repartitionById(tasks, (F.col("shard").cast("long") * tasks / n).cast("int")).sortWithinPartitions("shard", "doc_id", "tokens")
 
     def finish(shard: int, ids: list, tokens: list[bytes]) -> pa.RecordBatch:
         counts = np.fromiter(map(len, tokens), np.int64, len(tokens)) // int(width[2])
@@ -214,21 +239,21 @@ def token_shards(docs: DataFrame, vocabulary: str = VOCABULARY, shard_bytes: int
 
 
 def write_files(shards: DataFrame, folder: str) -> DataFrame:
-    """Write each shard as {folder}/shard-<number>.lqwm on a path that all executors share; (shard, path, n_tokens) of
-    those written. A file appears whole or not at all, and a task that is run again writes the same."""
+    """Write each shard as {folder}/shard-<number>.lqwm; (shard, path, n_tokens) of those written. folder: a path that all
+    executors share, or a URI of a file system that Arrow knows (hdfs, s3, gs). A file appears whole or not at all, and a
+    task that is run again writes the same."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
         for batch in batches:
-            paths = []
-            for shard, blob in zip(batch.column("shard").to_pylist(), batch.column("file").to_pylist()):
-                path = os.path.join(folder, f"shard-{shard:06d}.lqwm")
-                os.makedirs(folder, exist_ok=True)
-                beside = f"{path}.{uuid.uuid4().hex}"
-                with builtins.open(beside, "wb") as f:
+            names = [f"shard-{shard:06d}.lqwm" for shard in batch.column("shard").to_pylist()]
+            for name, blob in zip(names, batch.column("file").to_pylist()):
+                beside = f"{root}/{name}.{uuid.uuid4().hex}"
+                with store.open_output_stream(beside) as f:
                     f.write(blob)
-                os.replace(beside, path)
-                paths.append(path)
-            yield pa.RecordBatch.from_arrays([batch.column("shard"), pa.array(paths, pa.string()), batch.column("n_tokens")], ["shard", "path", "n_tokens"])
+                store.move(beside, f"{root}/{name}")
+            yield pa.RecordBatch.from_arrays([batch.column("shard"), pa.array([f"{folder}/{n}" for n in names], pa.string()), batch.column("n_tokens")], ["shard", "path", "n_tokens"])
 
     return shards.select("shard", "file", "n_tokens").mapInArrow(run, "shard int, path string, n_tokens long")
 

@@ -16,6 +16,25 @@ DATA = "/root/testdata/sf0.001"
 # sharding
 
 
+def sort_key(*values):
+    return tuple((0,) if v is None or v != v else (1, v) for v in values)
+
+
+def check_shards(out, keys, target, column):
+    """By brute force: shards are runs of the sorted keys, in one partition each, none overfull but those of one key."""
+    key = lambda x: sort_key(*(x[k] for k in keys))
+    by = {}
+    for x in out:
+        by.setdefault(x[column], []).append(x)
+    assert all(len({x.part for x in v}) == 1 for v in by.values())
+    order = sorted(by)
+    for a, b in zip(order, order[1:]):
+        assert max(map(key, by[a])) < min(map(key, by[b]))
+    for v in by.values():
+        assert sum(len((x.text or "").encode()) + 1 for x in v) <= sharding.OVERFULL * target or len({key(x) for x in v}) == 1
+    return by
+
+
 def test_shards(spark):
     r = random.Random(4)
     rows = [(i if i % 50 else None, "w" * (20000 if i == 7 else r.randint(0, 60)) if i % 11 else None, r.choice(["hot"] * 8 + ["a", "b", None]), "taken") for i in range(3000)]
@@ -25,21 +44,32 @@ def test_shards(spark):
     assert got.columns == [*docs.columns, "_shard", "part"]
     out = got.collect()
     assert sorted((str(x.doc_id), str(x.text), str(x.source)) for x in out) == sorted((str(a), str(b), str(c)) for a, b, c, _ in rows)
-    key = lambda x: sharding._key((x.source, x.doc_id))
-    by = {}
-    for x in out:
-        by.setdefault(x["_shard"], []).append(x)
-    assert all(len({x.part for x in v}) == 1 for v in by.values())
-    order = sorted(by)
-    for a, b in zip(order, order[1:]):
-        assert max(map(key, by[a])) < min(map(key, by[b]))
-    size = {k: sum(len(x.text or "") + 1 for x in v) for k, v in by.items()}
-    for k, v in size.items():
-        assert v <= sharding.OVERFULL * target or len({key(x) for x in by[k]}) == 1 or any(len(x.text or "") > target for x in by[k])
+    assert len(check_shards(out, ["source", "doc_id"], target, "_shard")) > 20
     assert sharding.shard(docs.limit(0), ["source", "doc_id"]).collect() == []
     assert {x.shard for x in sharding.shard(docs.drop("shard"), ["source", "doc_id"]).collect()} == {0}
 
 
+def test_shard_keys_of_any_name_and_type(spark):
+    r = random.Random(5)
+    odd = ["", "a", "a\0", "a\0b", "ab", "é", "😀", None, "z" * 5000]
+    rows = [(r.choice([None, float("nan"), -0.0, 1.5, -2.5, 1e300, float("-inf")]), r.choice(odd), r.choice([None, -(1 << 63), -1, 0, (1 << 63) - 1]), r.choice([None, True, False]), bytes(r.choices(range(3), k=r.randint(0, 3))), "x" * r.randint(0, 40)) for _ in range(600)]
+    docs = spark.createDataFrame(rows, "size double, key string, range long, first boolean, weight binary, text string")
+    for keys in (["size"], ["weight", "size"], ["key", "range"], ["first", "range", "key"], ["range", "weight"]):
+        out = sharding.shard(docs, keys, 300).withColumn("part", sharding.F.spark_partition_id()).collect()
+        assert len(out) == 600 and len(check_shards(out, keys, 300, "shard")) > 2
+    # nearly all is one key's, and a key that comes last
+    few = spark.createDataFrame([(1, "x" * 500)] * 40 + [(2, "x"), (0, "y")], "k int, text string")
+    assert {x.k: x.shard for x in sharding.shard(few, ["k"], 1000).collect()} == {0: 0, 1: 1, 2: 2}
+
+
+@pytest.mark.skipif(not os.path.exists(DATA), reason="the tables aren't here")
+def test_sharding_query(spark):
+    out = sharding.op2_sharding(spark, DATA).withColumn("part", sharding.F.spark_partition_id()).collect()
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
+    assert sorted(x[: len(docs[0])] for x in out) == sorted(tuple(d) for d in docs)
+    assert len(check_shards(out, ["source", "doc_id"], sharding.TARGET_BYTES, "shard")) > 1
+
+
 # token shards
 
 
@@ -61,6 +91,9 @@ def test_blocks_and_shards(spark, tmp_path):
     a = np.random.default_rng(0).zipf(1.3, 120_000) % 50_000
     w = wavelet.WaveletMatrix(wavelet.build(a.astype(np.uint16), [], np.zeros(0), 16))
     assert [w.access(i) for i in range(0, len(a), 997)] == a[::997].tolist()
+    assert w.tokens(0, len(a)).tolist() == a.tolist() and w.tokens(70_001, 70_007).tolist() == a[70_001:70_007].tolist() and not len(w.tokens(5, 5))
+    with pytest.raises(IndexError):
+        w.tokens(1, len(a) + 1)
     at = np.flatnonzero(a == 1)
     assert w.rank(1) == len(at) and w.select(1, len(at) - 5) == at[-5]
     if not os.path.exists(bpe.VOCABULARY):
@@ -82,6 +115,26 @@ def test_blocks_and_shards(spark, tmp_path):
     assert {r.shard: wavelet.WaveletMatrix.open(r.path).n for r in written} == {s.shard: s.n_tokens for s in shards}
 
 
+@pytest.mark.skipif(not (os.path.exists(DATA) and os.path.exists(bpe.VOCABULARY)), reason="the tables or the vocabulary aren't here")
+def test_token_shards_query(spark):
+    """All documents of the table, whole, from several shards."""
+    shards, e, got = wavelet.op9_token_shards(spark, DATA.replace("0.001", "0.01")).collect(), bpe.encoder(bpe.VOCABULARY), {}
+    assert len(shards) > 3
+    for s in shards:
+        w = wavelet.WaveletMatrix(s.file)
+        flat, n = w.tokens(0, w.n), np.diff(w.doc_starts)
+        data, size = e.decode(flat, n)
+        ends = np.cumsum(size).tolist()
+        got |= {d: data[b - k : b].tobytes().decode() for d, b, k in zip(w.doc_ids, ends, size.tolist())}
+    assert got == {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/documents.parquet").collect()}
+
+
+def test_shards_of_other_ids_and_a_long_text(spark):
+    docs = spark.createDataFrame([(1.5, "word " * 400_000), (None, "x"), (2.5, "")], "doc_id double, text string")
+    out = {s.shard: wavelet.WaveletMatrix(s.file) for s in wavelet.token_shards(docs, shard_bytes=1 << 20).collect()}
+    assert sorted((str(d), n) for w in out.values() for d, n in zip(w.doc_ids, np.diff(w.doc_starts).tolist())) == [("1.5", 400_001), ("2.5", 0), ("None", 1)]
+
+
 # link graph
 
 
@@ -104,37 +157,57 @@ def brute(links, trusted, blocked, steps, family):
             edges[h, t] = edges.get((h, t), 0) + 1
     for h in list(hosts):
         parent = h.split(".", 1)[1]
-        if "." in parent:
+        if "." in parent and parent not in link_graph.SUFFIXES:
             edges[h, parent] = edges.get((h, parent), 0) + family
             edges[parent, h] = edges.get((parent, h), 0) + family
     hosts |= {t for _, t in edges}
 
     def rank(pairs, seeds):
         out = {h: sum(w for (a, _), w in pairs.items() if a == h) for h in hosts}
-        start = {h: (h in seeds) / max(len(seeds), 1) for h in hosts}
-        now = dict(start)
+        now = {h: float(h in seeds) for h in hosts}
         for _ in range(steps):
-            now = {h: 0.15 * start[h] + 0.85 * sum(now[a] * w / out[a] for (a, b), w in pairs.items() if b == h) for h in hosts}
-        return now
+            now = {h: 0.15 * (h in seeds) + 0.85 * sum(now[a] * w / out[a] for (a, b), w in pairs.items() if b == h) for h in hosts}
+        return {h: x / 0.15 for h, x in now.items()}
 
     cover = lambda seeds: {h for h in hosts if any(h == s or h.endswith("." + s) for s in seeds)}
     bad = cover(blocked)
     t, d = rank(edges, cover(trusted) - bad), rank({(b, a): w for (a, b), w in edges.items()}, bad)
-    return {h: (round(t[h], 8), round(d[h], 8), h in bad or (d[h] >= link_graph.LEAST and d[h] > t[h])) for h in hosts}
+    return {h: (round(t[h], 6), round(d[h], 6), h in bad or (d[h] >= link_graph.LEAST and d[h] > t[h])) for h in hosts}
 
 
 def test_propagation(spark):
-    got = {r.host: (r.trust, r.distrust, r.rejected) for r in link_graph.host_scores(pages_of(spark, LINKS), ("good.test",), ("bad.test",), iterations=7).collect()}
-    want = brute(LINKS, ("good.test",), ("bad.test",), 7, link_graph.FAMILY)
+    got = {r.host: (r.trust, r.distrust, r.rejected) for r in link_graph.host_scores(pages_of(spark, LINKS), ("good.test",), ("bad.test",), tolerance=0.3).collect()}
+    assert link_graph.rounds(tolerance=0.3) == 8
+    want = brute(LINKS, ("good.test",), ("bad.test",), 8, link_graph.FAMILY)
     assert got.keys() == want.keys()
     for h in want:
-        assert got[h] == pytest.approx(want[h], abs=2e-8)
+        assert got[h] == pytest.approx(want[h], abs=2e-6)
     assert got["farm.test"][2] and got["www.bad.test"][2] and not got["mid.test"][2] and not got["leaf.test"][2]
-    per_page = link_graph.filter_urls(pages_of(spark, LINKS), trusted=("good.test",), blocked=("bad.test",)).collect()
+    per_page = link_graph.filter_urls(pages_of(spark, LINKS), trusted=("good.test",), blocked=("bad.test",), tolerance=0.3).collect()
     assert len(per_page) == len(LINKS) and [r.rejected for r in per_page if r.host is None] == [True]
-    none = link_graph.filter_urls(pages_of(spark, LINKS), trusted=(), blocked=()).collect()
+    none = link_graph.filter_urls(pages_of(spark, LINKS), trusted=(), blocked=(), tolerance=0.3).collect()
     assert [r.rejected for r in none if r.host] == [False] * 7
-    assert link_graph.filter_urls(pages_of(spark, []).limit(0)).collect() == []
+    assert link_graph.filter_urls(pages_of(spark, []).limit(0), tolerance=0.3).collect() == []
+
+
+def test_hosts_under_a_public_suffix_are_strangers(spark):
+    links = [("spam.co.uk", []), ("a.co.uk", []), ("b.co.uk", ["a.co.uk"]), ("me.github.io", []), ("you.github.io", []), ("shop.spam.co.uk", []), ("friend.test", ["spam.co.uk"])]
+    got = {r.host: r.rejected for r in link_graph.host_scores(pages_of(spark, links), (), ("spam.co.uk", "me.github.io"), tolerance=0.3).collect()}
+    assert got == {"spam.co.uk": True, "a.co.uk": False, "b.co.uk": False, "me.github.io": True, "you.github.io": False, "shop.spam.co.uk": True, "friend.test": True}
+
+
+def test_thresholds_hold_for_many_seeds_and_long_ways(spark):
+    """One link to one of 3,000 blocked hosts rejects; so does a way of 20 links; seeds may be a table."""
+    links = [(f"bad{i}.test", []) for i in range(3000)] + [("friend.test", ["bad7.test"])] + [(f"way{i}.test", [f"way{i + 1}.test"]) for i in range(20)] + [("way20.test", ["bad9.test"])] + [("clean.test", [])]
+    seeds = spark.createDataFrame([(f"BAD{i}.test",) for i in range(3000)], "name string")
+    got = {r.host: r.rejected for r in link_graph.host_scores(pages_of(spark, links), (), seeds).collect()}
+    assert got["friend.test"] and all(got[f"way{i}.test"] for i in range(21)) and not got["clean.test"] and all(got[f"bad{i}.test"] for i in range(3000))
+
+
+def test_long_pages_and_urls(spark):
+    rows = [(1, "http://good.test/" + "x" * 200_000, '<a href="http://bad.test/">x</a>' + "y" * 2_000_000), (2, "http://late.test/", "z" * 1_000_000 + '<a href="http://bad.test/">x</a>')]
+    got = {r.host: r.rejected for r in link_graph.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), trusted=(), blocked=("bad.test",), tolerance=0.3).collect()}
+    assert got == {"good.test": True, "late.test": True}
 
 
 @pytest.mark.skipif(not os.path.exists(DATA), reason="the tables aren't here")
