@@ -10,7 +10,7 @@ import json
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,9 +25,9 @@ def _canonical(value: Any) -> Any:
 
 
 def _path(key: str) -> str:
-    if "'" in key:
-        raise ValueError(f"a key can't hold a quote: {key}")
-    return f"$['{key}']"
+    if "'" in key and '"' in key:
+        raise ValueError(f"a key can't hold both kinds of quotes: {key}")
+    return f'$["{key}"]' if "'" in key else f"$['{key}']"
 
 
 def _json_equals(attributes: Column, key: str, value: Any) -> Column:
@@ -68,3 +68,16 @@ def predicate(filters: dict[str, Any] | None, attributes: Column | None = None,
             tests = [_json_equals(attributes, key, v) for v in options]
         terms.append(reduce(lambda a, b: a | b, tests, F.lit(False)) if len(tests) != 1 else tests[0])
     return reduce(lambda a, b: a & b, terms) if terms else F.lit(True)
+
+
+def entries(attributes: Column) -> Column:
+    """The scalar attributes as a map from key to their JSON text, which tells "1" from 1; null values, arrays and objects
+    are left out, as no filter index holds them."""
+    raw = F.from_json(attributes, "map<string,variant>")
+    kinds = F.map_filter(raw, lambda k, v: v.isNotNull() & ~F.is_variant_null(v) & ~F.schema_of_variant(v).rlike("^(ARRAY|OBJECT)"))
+    return F.transform_values(kinds, lambda k, v: F.to_json(v))
+
+
+def attribute_index(rows: DataFrame) -> DataFrame:
+    """(key, value, n) of (id, attributes): how many rows each equality filter keeps, a row a key and value, texts as JSON."""
+    return rows.select(F.explode(entries(F.col("attributes"))).alias("key", "value")).groupBy("key", "value").agg(F.count("*").alias("n"))

@@ -1,4 +1,4 @@
-"""Text analysis as column expressions, and a Porter2 stemmer for English vocabularies."""
+"""Text analysis as column expressions, and a Porter2 stemmer for English; other languages' are in ``snowball``."""
 
 from __future__ import annotations
 
@@ -8,18 +8,29 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomquery.functions.snowball import stemmer
+
 STOPWORDS = frozenset("there these their such with will then into your this that they and the are for was not but you be if of an in on no to or as is at it by a".split())
-WORD = r"[\p{L}\p{M}\p{N}_]+"
-#: Words joined inside by an apostrophe, a full stop or a comma between digits, as Unicode word segmentation has them.
-UNICODE_WORD = r"[\p{L}\p{M}\p{N}_]+(?:['’.](?=[\p{L}])[\p{L}\p{M}\p{N}_]+|[.,](?=\p{N})[\p{N}]+)*"
+_LETTER = r"[^\P{L}\p{%sHan}\p{%sHiragana}]"
+#: Unicode word segmentation (UAX 29) of words that hold a letter or number, in Java's syntax: letters are joined by an
+#: inner apostrophe, full stop or colon (can't), numbers by a comma or full stop (3.5), and each Han or Hiragana character
+#: is a word. Possessive, so that no text overflows the matcher's stack.
+WORD = r"_*[a-z0-9\p{N}LETTER][a-z0-9_\p{M}\p{N}LETTER]*+(?:(?<=[a-z\p{M}LETTER])['’.:·](?=LETTER)[a-z0-9_\p{M}\p{N}LETTER]*+|(?<=\p{N})['’.,;](?=\p{N})[a-z0-9_\p{M}\p{N}LETTER]*+)*+|[\p{IsHan}\p{IsHiragana}]\p{M}*".replace("LETTER", _LETTER % ("Is", "Is"))
+#: The same without looking around, for RE2 (DuckDB) and Python's regex.
+PORTABLE_WORD = r"_*(?:LETTER[\p{M}LETTER]*(?:['’.:·]LETTER[\p{M}LETTER]*)*|\p{N}+(?:['’.,;]\p{N}+)*)(?:LETTER[\p{M}LETTER]*(?:['’.:·]LETTER[\p{M}LETTER]*)*|\p{N}+(?:['’.,;]\p{N}+)*|[_\p{M}]+)*|[\p{Han}\p{Hiragana}]\p{M}*"
+for _inner in (r"[\p{M}LETTER]",):  # a negated class can't stand in a class there
+    PORTABLE_WORD = PORTABLE_WORD.replace(_inner, r"(?:LETTER|\p{M})")
+PORTABLE_WORD = PORTABLE_WORD.replace("LETTER", _LETTER % ("", ""))
 
 
 @dataclass(frozen=True)
 class Tokenizer:
-    """Lower-cased words by pattern, by bytes of length, without stop words (compared after stemming)."""
+    """Lower-cased Unicode words, or those of another pattern (in Java's syntax), by bytes of length, without stop words
+    (compared after stemming)."""
 
     pattern: str = WORD
     least: int = 2
@@ -42,9 +53,9 @@ class Tokenizer:
 
     def query(self, text: str) -> list[str]:
         """The tokens of a query, on the driver, by the same rules."""
-        pattern = self.pattern.replace(r"\p{L}\p{M}\p{N}_", r"\w").replace(r"[\p{L}]", r"[^\W\d_]").replace(r"\p{N}", r"\d")
+        pattern = PORTABLE_WORD if self.pattern == WORD else self.pattern
         out = []
-        for w in re.findall(pattern, text.lower()):
+        for w in regex.findall(pattern, text.lower()):
             w = stem_word(w, self.language) if self.stem else w
             if self.least <= len(w.encode()) <= self.most and w not in self.stopwords:
                 out.append(w)
@@ -69,7 +80,7 @@ def stemmed(words: DataFrame, column: str, tokenizer: Tokenizer) -> DataFrame:
 
 _VOWELS = "aeiouy"
 _DOUBLES = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
-_SPECIAL = {"skis": "ski", "skies": "sky", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl", "sky": "sky", "news": "news", "howe": "howe", "atlas": "atlas", "cosmos": "cosmos", "bias": "bias", "andes": "andes"}
+_SPECIAL = {"skis": "ski", "skies": "sky", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl", "sky": "sky", "news": "news", "howe": "howe", "atlas": "atlas", "cosmos": "cosmos", "bias": "bias", "andes": "andes", "dying": "die", "lying": "lie", "tying": "tie"}
 _KEPT = frozenset("inning outing canning herring earring proceed exceed succeed".split())
 _STEP2 = (("ization", "ize"), ("ational", "ate"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive"), ("tional", "tion"), ("biliti", "ble"), ("lessli", "less"), ("entli", "ent"), ("ation", "ate"), ("alism", "al"), ("aliti", "al"), ("ousli", "ous"), ("iviti", "ive"), ("fulli", "ful"), ("enci", "ence"), ("anci", "ance"), ("abli", "able"), ("izer", "ize"), ("ator", "ate"), ("alli", "al"), ("bli", "ble"), ("ogi", "og"), ("li", ""))
 _STEP3 = (("ational", "ate"), ("tional", "tion"), ("alize", "al"), ("icate", "ic"), ("iciti", "ic"), ("ative", ""), ("ical", "ic"), ("ness", ""), ("ful", ""))
@@ -98,9 +109,12 @@ def _short_end(w: str) -> bool:
 
 @lru_cache(1 << 16)
 def stem_word(word: str, language: str = "english") -> str:
-    """Porter2 for English; words of other languages aren't stemmed."""
+    """By the Snowball stemmer of the language (name or code); a language that isn't known counts as English."""
+    other = stemmer(language)
+    if other is not None:
+        return other(word)
     w = word
-    if language != "english" or len(w) < 3:
+    if len(w) < 3:
         return w
     if w in _SPECIAL:
         return _SPECIAL[w]

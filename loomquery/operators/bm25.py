@@ -47,7 +47,11 @@ def doc_lengths(docs: DataFrame, tokenizer: Tokenizer = Tokenizer()) -> DataFram
 
 def corpus_stats(docs: DataFrame, tokenizer: Tokenizer = Tokenizer()) -> DataFrame:
     """(n_docs, total_len, avgdl): avgdl is 1 where there are no tokens."""
-    out = doc_lengths(docs, tokenizer).agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_len"))
+    return total_stats(doc_lengths(docs, tokenizer))
+
+
+def total_stats(lengths: DataFrame) -> DataFrame:
+    out = lengths.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_len"))
     return out.withColumn("avgdl", average_length(F.col("total_len"), F.col("n_docs")))
 
 
@@ -108,20 +112,30 @@ def postings(docs: DataFrame, tokenizer: Tokenizer = Tokenizer()) -> DataFrame:
     return tokens.select("id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def build_index(docs: DataFrame, path: str, tokenizer: Tokenizer = Tokenizer()) -> None:
-    """Write postings (sorted by term, so that a term's row groups are found by their bounds) and statistics."""
+def build_index(docs: DataFrame, path: str, tokenizer: Tokenizer = Tokenizer()) -> int:
+    """Write postings (sorted by term, so that a term's row groups are found by their bounds), lengths and statistics; the
+    tokens of all documents."""
     postings(docs, tokenizer).repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/postings")
-    corpus_stats(docs, tokenizer).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+    doc_lengths(docs, tokenizer).write.mode("overwrite").parquet(f"{path}/lengths")
+    lengths = docs.sparkSession.read.parquet(f"{path}/lengths")
+    total_stats(lengths).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+    return docs.sparkSession.read.parquet(f"{path}/stats").first()["total_len"]
 
 
-def search_index(spark, path: str, terms: list[str], allowed: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
-    """(id, score) from a written index; the terms are pushed to the scan of the postings. allowed: (id) to keep."""
+def score_postings(listed: DataFrame, stats: DataFrame, terms: list[str], allowed: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
+    """(id, score) from the postings (id, dl, term, tf) of the terms in all documents and their statistics (n_docs,
+    total_len, avgdl). allowed: (id) to keep, after the statistics."""
     counts = Counter(terms)
-    listed = spark.read.parquet(f"{path}/postings").where(F.col("term").isin(list(counts)) if counts else F.lit(False))
     df = listed.groupBy("term").agg(F.count("*").alias("df"))  # a row a term of the query
     times = F.coalesce(*[F.when(F.col("term") == t, F.lit(n)) for t, n in counts.items()], F.lit(0)) if counts else F.lit(0)
     if allowed is not None:
         listed = listed.join(allowed, "id", "left_semi")
-    rows = listed.join(F.broadcast(df), "term").crossJoin(F.broadcast(spark.read.parquet(f"{path}/stats")))
+    rows = listed.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))
     part = times * idf(F.col("n_docs"), F.col("df")) * weight(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
     return rows.groupBy("id").agg(F.sum(part).alias("score"))
+
+
+def search_index(spark, path: str, terms: list[str], allowed: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
+    """(id, score) from a written index; the terms are pushed to the scan of the postings. allowed: (id) to keep."""
+    wanted = F.col("term").isin(list(dict.fromkeys(terms))) if terms else F.lit(False)
+    return score_postings(spark.read.parquet(f"{path}/postings").where(wanted), spark.read.parquet(f"{path}/stats"), terms, allowed, k1, b)

@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomquery.functions import vectors as V
-from loomquery.operators.knn import distances, exact_knn, matrix, top
+from loomquery.operators.knn import batch_knn, block_pairs, distances, exact_knn, matrix, top
 from loomquery.schema import Metric
 
 #: Rows below which a scan is better than an index.
@@ -22,19 +22,30 @@ LEAST_ROWS = 10_000
 CATCH_ALL = -1
 
 
+#: Queries and neighbours from which the default of clusters to open is set, and the recall that it has to reach on them.
+CALIBRATE_QUERIES, CALIBRATE_K, TARGET_RECALL = 128, 10, 0.95
+#: Rows of a cluster, and queries that open it, in a block of a search for many.
+BLOCK_ROWS = 20_000
+
+
 @dataclass(frozen=True)
 class Ivf:
-    """Centroids (cluster, vector, radius) on the driver: about the square root of the rows, at most max_k."""
+    """Centroids (cluster, vector, radius) on the driver: about the square root of the rows, at most max_k. probes: how many
+    clusters reach TARGET_RECALL on a sample of the rows."""
 
     centroids: np.ndarray
     radii: np.ndarray
     metric: Metric
+    probes: int = 10
+
+    def count(self, nprobe: int | None) -> int:
+        """How many clusters to open: those asked for (0: 10), by default those that the recall needs."""
+        return min(len(self.centroids), max(1, self.probes if nprobe is None else nprobe or 10))
 
-    def nearest(self, query: Sequence[float], nprobe: int = 10) -> list[int]:
+    def nearest(self, query: Sequence[float], nprobe: int | None = None) -> list[int]:
         """The clusters to open, nearest first."""
         d = distances(self.centroids, np.array([query], np.float64), self.metric)[0]
-        n = min(len(d), max(1, nprobe or 10))
-        return np.argsort(d, kind="stable")[:n].tolist()
+        return np.argsort(d, kind="stable")[: self.count(nprobe)].tolist()
 
 
 def cluster_count(rows: int, factor: float = 1.0, least: int = 16, most: int = 65_535) -> int:
@@ -52,20 +63,38 @@ def assign(vector: Column, centroids: Sequence[Sequence[float]], metric: Metric)
 
 
 def fit(rows: DataFrame, k: int | None = None, metric: Metric = Metric.COSINE, iterations: int = 25, seed: int = 42) -> tuple[Ivf, DataFrame]:
-    """The index, and rows (id, vector) with their cluster."""
+    """The index, fitted on all rows, and rows (id, vector, ...) with their cluster."""
     n = rows.count()
     k = k or cluster_count(n)
     cosine = metric is Metric.COSINE
-    usable = rows.where(V.norm(F.col("vector")) > 0) if cosine else rows
-    features = usable.select("id", "vector", array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
+    far = V.norm(F.col("vector")) > 0
+    usable = rows.where(far) if cosine else rows
+    features = usable.withColumn("features", array_to_vector(F.col("vector").cast("array<double>")))
     model = KMeans(k=k, initMode="random", maxIter=iterations, seed=seed, distanceMeasure="cosine" if cosine else "euclidean").fit(features)
     centroids = np.array(model.clusterCenters())
-    placed = model.transform(features).select("id", "vector", F.col("prediction").alias("cluster"))
-    placed = rows.join(placed.select("id", "cluster"), "id", "left").select("id", "vector", F.coalesce("cluster", F.lit(CATCH_ALL)).alias("cluster")) if cosine else placed
+    placed = model.transform(features).select(*rows.columns, F.col("prediction").alias("cluster"))
+    if cosine:
+        placed = placed.unionByName(rows.where(~far | F.col("vector").isNull()).withColumn("cluster", F.lit(CATCH_ALL)))
     radii = np.zeros(len(centroids))
     for r in placed.where(F.col("cluster") >= 0).mapInArrow(_furthest(placed, centroids, metric), "cluster int, radius double").groupBy("cluster").agg(F.max("radius").alias("radius")).collect():
         radii[r["cluster"]] = r["radius"]
-    return Ivf(centroids, radii, metric), placed
+    index = Ivf(centroids, radii, metric)
+    return replace(index, probes=calibrated(placed, index)), placed
+
+
+def calibrated(placed: DataFrame, index: Ivf, queries: int = CALIBRATE_QUERIES, k: int = CALIBRATE_K, target: float = TARGET_RECALL) -> int:
+    """The least number of clusters that hold the share target of the k nearest rows of a bounded sample of the rows (those
+    of smallest hash)."""
+    sample = placed.where(F.col("cluster") >= 0).select("id", "vector").orderBy(F.xxhash64("id"), "id").limit(queries).collect()
+    if not sample:
+        return 1
+    wanted = [(i, [float(x) for x in r.vector]) for i, r in enumerate(sample)]
+    near = batch_knn(placed, wanted, k, index.metric).select("query_id", "id").join(placed.select("id", "cluster"), "id").collect()
+    order = np.argsort(distances(index.centroids, np.array([v for _, v in wanted]), index.metric), axis=1, kind="stable")
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(order.shape[1])[None, :], 1)
+    at = sorted(int(place[r.query_id, r.cluster]) + 1 for r in near if r.cluster >= 0)
+    return at[max(0, int(np.ceil(target * len(at))) - 1)] if at else 1
 
 
 def _furthest(placed: DataFrame, centroids: np.ndarray, metric: Metric):
@@ -94,8 +123,8 @@ def write(placed: DataFrame, path: str) -> None:
     placed.repartition("cluster").write.mode("overwrite").partitionBy("cluster").parquet(path)
 
 
-def search(placed: DataFrame, index: Ivf, query: Sequence[float], k: int, nprobe: int = 10) -> DataFrame:
-    """(rank, id, score) from the nprobe nearest clusters; a filter on the partition column."""
+def search(placed: DataFrame, index: Ivf, query: Sequence[float], k: int, nprobe: int | None = None) -> DataFrame:
+    """(rank, id, score) from the nearest clusters; a filter on the partition column."""
     return exact_knn(placed.where(F.col("cluster").isin([CATCH_ALL, *index.nearest(query, nprobe)])), query, k, index.metric)
 
 
@@ -117,12 +146,31 @@ def search_bounded(placed: DataFrame, index: Ivf, query: Sequence[float], k: int
     return exact_knn(placed.where(F.col("cluster").isin(wanted)), query, k, index.metric)
 
 
-def search_batch(placed: DataFrame, index: Ivf, queries: Sequence[tuple], k: int, nprobe: int = 10) -> DataFrame:
-    """(query_id, rank, id, score) for many queries. Queries go to the clusters that they open by a join on the cluster."""
-    spark: SparkSession = placed.sparkSession
-    kind = "bigint" if isinstance(queries[0][0], int) else "string"
-    probes = [(q, [float(x) for x in v], c) for q, v in queries for c in [CATCH_ALL, *index.nearest(v, nprobe)]]
-    opened = F.broadcast(spark.createDataFrame(probes, f"query_id {kind}, query array<double>, cluster int"))
-    d = V.distance(F.col("vector"), F.col("query"), index.metric)
-    return top(placed.join(opened, "cluster").select("query_id", "id", V.score(d, index.metric).alias("score")), k, ["query_id"]).select("query_id", "rank", "id", "score")
+def search_batch(placed: DataFrame, index: Ivf, queries: DataFrame, k: int, nprobe: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(query_id, rank, id, score) for a table of queries (id, vector). Queries go to the clusters that they open; a hot
+    cluster, by its rows or by its queries, is cut into blocks by counts; each block is a matrix product that keeps k rows a
+    query."""
+    kind = queries.schema["id"].dataType.simpleString()
+    shared = placed.sparkSession.sparkContext.broadcast((index, index.count(nprobe)))
 
+    def open_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, n = shared.value
+        for batch in batches:
+            m, ok = matrix(batch.column("vector"), found.centroids.shape[1])
+            near = np.argsort(distances(found.centroids, m, found.metric), axis=1, kind="stable")[:, :n]
+            clusters = np.concatenate([np.full((len(ok), 1), CATCH_ALL), near], 1).astype(np.int32)
+            take = pa.array(np.repeat(ok, clusters.shape[1]))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("vector").take(take), pa.array(clusters.ravel())], ["id", "vector", "cluster"])
+
+    vector = queries.schema["vector"].dataType.simpleString()
+    probes = queries.select("id", "vector").mapInArrow(open_, f"id {kind}, vector {vector}, cluster int")
+    # a row a cluster, so bounded by the number of clusters
+    parts = lambda side, name: F.broadcast(side.groupBy("cluster").agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name)))
+    a, b = parts(probes, "a"), parts(placed, "b")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    x = probes.join(a, "cluster").join(b, "cluster").select("id", "vector", "cluster", own("a").alias("i"), others("b").alias("j"))
+    y = placed.join(a, "cluster").join(b, "cluster").select(F.col("id").alias("other"), F.col("vector").alias("other_vector"), "cluster", own("b").alias("j"), others("a").alias("i"))
+    keys = ["cluster", "i", "j"]
+    found = x.groupBy(*keys).cogroup(y.groupBy(*keys)).applyInArrow(block_pairs(k, index.metric), f"query_id {kind}, id {placed.schema['id'].dataType.simpleString()}, score double")
+    return top(found, k, ["query_id"]).select("query_id", "rank", "id", "score")

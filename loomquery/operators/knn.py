@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -23,7 +24,7 @@ SIMPLE = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 def matrix(column: pa.Array, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
     """The rows whose vectors have these dimensions, as a double matrix, and their positions."""
-    lengths = np.array([-1 if n is None else n for n in column.value_lengths().to_pylist()])
+    lengths = pc.fill_null(column.value_lengths(), -1).to_numpy(zero_copy_only=False)
     ok = np.flatnonzero(lengths == dimensions)
     if len(ok) < len(lengths):
         column = column.take(pa.array(ok))
@@ -33,13 +34,17 @@ def matrix(column: pa.Array, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
 
 def distances(rows: np.ndarray, queries: np.ndarray, metric: Metric) -> np.ndarray:
     """A row a query, a column a row."""
+    if metric is Metric.EUCLIDEAN:
+        # differences, as the form by products loses digits near zero; a query at a time, so that it stays in the cache
+        out = np.empty((len(queries), len(rows)))
+        for i, q in enumerate(queries):
+            for at in range(0, len(rows), 4096):
+                off = rows[at : at + 4096] - q
+                out[i, at : at + 4096] = np.einsum("ij,ij->i", off, off)
+        return out
     products = queries @ rows.T
     if metric is Metric.DOT:
         return -products
-    if metric is Metric.EUCLIDEAN:
-        if len(queries) * rows.size <= 1 << 22:  # exact differences; the product form loses digits near zero
-            return ((queries[:, None, :] - rows[None, :, :]) ** 2).sum(2)
-        return np.maximum((queries**2).sum(1)[:, None] + (rows**2).sum(1) - 2 * products, 0)
     scale = np.sqrt((queries**2).sum(1))[:, None] * np.sqrt((rows**2).sum(1))
     with np.errstate(divide="ignore", invalid="ignore"):
         return np.where(scale > 0, 1 - np.clip(products / scale, -1, 1), V.FARTHEST_COSINE)
@@ -140,11 +145,20 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, metric: Metric = Metric.
     x = left.select("id", "vector", block(left, a).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("j"))
     y = right.select(F.col("id").alias("other"), F.col("vector").alias("other_vector"), block(right, b).alias("j"), F.explode(F.sequence(F.lit(0), F.lit(a - 1))).alias("i"))
 
+    pair = block_pairs(k, metric, exclude_self)
+    found = x.groupBy("i", "j").cogroup(y.groupBy("i", "j")).applyInArrow(pair, f"query_id {id_kind}, id {id_kind}, score double")
+    return top(found, k, ["query_id"]).select("query_id", "rank", "id", "score")
+
+
+def block_pairs(k: int, metric: Metric, exclude_self: bool = False):
+    """For cogrouped tables (id, vector) and (other, other_vector): of each id at least its k best others, by one matrix
+    product a slice of ids."""
+
     def pair(lt: pa.Table, rt: pa.Table) -> pa.Table:
         sides = []
         for t, name, values in ((lt, "id", "vector"), (rt, "other", "other_vector")):
             column = t.column(values).combine_chunks()
-            dims = next((n for n in column.value_lengths().to_pylist() if n), 0)
+            dims = int(pc.max(column.value_lengths()).as_py() or 0)
             m, ok = matrix(column, dims)
             sides.append((m, t.column(name).combine_chunks().take(pa.array(ok))))
         (m, ids), (n, others) = sides
@@ -164,8 +178,7 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, metric: Metric = Metric.
         q, r, s = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (query, row, score))
         return pa.table({"query_id": ids.take(pa.array(q, pa.int64())), "id": others.take(pa.array(r, pa.int64())), "score": pa.array(s, pa.float64())})
 
-    found = x.groupBy("i", "j").cogroup(y.groupBy("i", "j")).applyInArrow(pair, f"query_id {id_kind}, id {id_kind}, score double")
-    return top(found, k, ["query_id"]).select("query_id", "rank", "id", "score")
+    return pair
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,25 +63,37 @@ def rerank(coded: DataFrame, query: Sequence[float], k: int, lo: Sequence[float]
     return top(few.select("id", exact.alias("score")), k).select("rank", "id", "score")
 
 
-def to_half(rows: DataFrame) -> DataFrame:
-    """(id, half): vectors as bytes of IEEE halves."""
-    kind = rows.schema["id"].dataType.simpleString()
+def _halves(column: pa.Array) -> pa.Array:
+    """Each vector as the bytes of its halves: one cast of all values, then slices of their bytes."""
+    n = pc.fill_null(column.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float16)
+    offsets = np.append(0, np.cumsum(2 * n)).astype(np.int32)
+    none = None if not column.null_count else pa.py_buffer(np.packbits(pc.is_valid(column).to_numpy(zero_copy_only=False), bitorder="little").tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(column), [none, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.tobytes())])
+
+
+def with_half(rows: DataFrame) -> DataFrame:
+    """rows with the vector's halves as a column ``half``."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            half = [None if v is None else np.array(v, np.float16).tobytes() for v in batch.column("vector").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(half, pa.binary())], ["id", "half"])
+    @F.arrow_udf("binary")
+    def half(v: pa.Array) -> pa.Array:
+        return _halves(v)
 
-    return rows.select("id", "vector").mapInArrow(run, f"id {kind}, half binary")
+    return rows.withColumn("half", half("vector"))
+
+
+def to_half(rows: DataFrame) -> DataFrame:
+    """(id, half): vectors as bytes of IEEE halves."""
+    return with_half(rows.select("id", "vector")).select("id", "half")
 
 
 def half_vectors(coded: DataFrame) -> DataFrame:
-    """(id, vector) back from halves."""
-    kind = coded.schema["id"].dataType.simpleString()
+    """coded with the vectors back from its halves."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            back = [None if h is None else np.frombuffer(h, np.float16).astype(np.float32) for h in batch.column("half").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(back, pa.list_(pa.float32()))], ["id", "vector"])
+    @F.arrow_udf("array<float>")
+    def back(h: pa.Array) -> pa.Array:
+        n = pc.fill_null(pc.binary_length(h), 0).to_numpy(zero_copy_only=False).astype(np.int64) // 2
+        flat = np.frombuffer(b"".join(x for x in h.to_pylist() if x), np.float16).astype(np.float32)
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(flat), mask=pc.is_null(h))
 
-    return coded.select("id", "half").mapInArrow(run, f"id {kind}, vector array<float>")
+    return coded.withColumn("vector", back("half")).drop("half")

@@ -21,7 +21,12 @@ def latest_change(log: DataFrame, order: Sequence[str] = ("ts", "seq")) -> DataF
 
 def replay(log: DataFrame, order: Sequence[str] = ("ts", "seq")) -> DataFrame:
     """The live rows after all changes: the last upsert of each id that wasn't deleted later."""
-    return latest_change(log, order).where(F.col("op") == "upsert").drop("op")
+    return upserts(latest_change(log, order))
+
+
+def upserts(last: DataFrame) -> DataFrame:
+    """The rows of last changes that aren't deletes."""
+    return last.where(F.col("op") == "upsert").drop("op")
 
 
 def deleted(log: DataFrame, order: Sequence[str] = ("ts", "seq")) -> DataFrame:
@@ -61,3 +66,8 @@ def fifo(log: DataFrame, size: int) -> DataFrame:
     born = lives.groupBy("id", "life").agg(F.min("seq").alias("born"), F.max("seq").alias("seq"))
     last = latest_change(log, ["seq"]).where(F.col("op") == "upsert").select("id", "seq")
     return born.join(last, ["id", "seq"]).select("id", "born", "seq").orderBy(F.col("born").desc()).limit(size)
+
+
+def sync_diff(remote: DataFrame, local: DataFrame, keys: Sequence[str] = ("id", "content_hash")) -> DataFrame:
+    """The rows of remote that local lacks or holds with another hash: what an incremental sync has to fetch."""
+    return remote.join(local.select(*keys), list(keys), "left_anti")

@@ -8,20 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomquery.functions import vectors as V
-from loomquery.functions.attributes import predicate
-from loomquery.functions.text import STOPWORDS, Tokenizer
+from loomquery.functions.attributes import attribute_index, predicate
+from loomquery.functions.text import PORTABLE_WORD, STOPWORDS, Tokenizer
 from loomquery.operators import bm25, ivf, knn, quantize, versions
 from loomquery.plans.catalog import Catalog
 from loomquery.plans.search import search
-from loomquery.schema import Metric, SearchRequest
+from loomquery.schema import CHANGE, Metric, SearchRequest, duration
 from loomquery.sources.scratch import scratch
-from loomquery.sources.store import Namespace
+from loomquery.sources.store import Indexing, Namespace
 from loomquery.streaming.ingest import LiveTable, ingest
+from loomquery.streaming.writers import BatchedWriter, Compactor
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 TEXT = "tion thre onesen"
-BATCH = (0, 7, 42, 99, 123)
 
 
 def query(sql: str | None = None, name: str | None = None):
@@ -47,10 +47,15 @@ def vecs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
 
 
+#: Scans of at most so many bytes are spread over the cores.
+SPREAD_BYTES = 256 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where its scan has fewer splits than that, as a small file has; large tables stay as they are."""
+    """df over all cores where it is a small file of fewer splits than that; what would be costly to move stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    small = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= SPREAD_BYTES
+    return df.repartition(cores) if small and df.rdd.getNumPartitions() < cores else df
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +63,8 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).join(vecs(spark, sf_dir), "id")
+    """All documents; those without an embedding are found by their text only."""
+    return docs(spark, sf_dir).join(vecs(spark, sf_dir), "id", "left")
 
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,9 +113,11 @@ def knn_columns_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(knn.exact_knn_columns(vecs(spark, sf_dir), vector_of(spark, sf_dir, 0)[0][1], 10))
 
 
-@query(f"WITH qs AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id IN {BATCH}), {_V} " + _top(f"SELECT query_id, id, {_SCORES[Metric.COSINE]} AS score FROM v, qs", 5, "query_id, rank, id, round(score, 6) AS score", "query_id"))
+@query(f"WITH qs AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 20 = 0), {_V} " + _top(f"SELECT query_id, id, {_SCORES[Metric.COSINE]} AS score FROM v, qs", 5, "query_id, rank, id, round(score, 6) AS score", "query_id"))
 def knn_batch_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(knn.batch_knn(vecs(spark, sf_dir), vector_of(spark, sf_dir, *BATCH), 5), "query_id")
+    """Every twentieth row as a query against all rows."""
+    rows = vecs(spark, sf_dir)
+    return shown(knn.knn_join(rows.where("id % 20 = 0"), rows, 5), "query_id")
 
 
 _TYPED = {"label": (F.col, "label", "int"), "even": (lambda _: F.col("id") % 2 == 0, "", "boolean")}
@@ -166,10 +174,24 @@ def candidate_overfetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(knn.segment_candidates(rows, vector_of(spark, sf_dir, 0)[0][1], 2), "segment")
 
 
+@query(f"WITH {_Q}, {_V} SELECT id, round(1e0 - list_dot_product(e, q) / sqrt(list_dot_product(e, e)) / sqrt(list_dot_product(q, q)), 6) AS distance FROM v, q")
+def cosine_of_unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unit = vecs(spark, sf_dir).select("id", V.normalize(F.col("vector")).alias("unit"))
+    q = F.broadcast(unit.where("id = 0").select(F.col("unit").alias("q")))
+    return unit.crossJoin(q).select("id", F.round(V.cosine_prenormalised(F.col("unit"), F.col("q")), 6).alias("distance"))
+
+
 # text
 
 _STOP = ", ".join(f"'{w}'" for w in sorted(STOPWORDS))
-_TOKENS = f"list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda x: strlen(x) BETWEEN 2 AND 32 AND x NOT IN ({_STOP}))"
+_WORDS = "regexp_extract_all(lower(coalesce({}, '')), '" + PORTABLE_WORD.replace("'", "''").replace("{", "{{").replace("}", "}}") + "')"
+
+
+def _tokens(text: str = "text") -> str:
+    return f"list_filter({_WORDS.format(text)}, lambda x: strlen(x) BETWEEN 2 AND 32 AND x NOT IN ({_STOP}))"
+
+
+_TOKENS = _tokens()
 _DOCS = f"d AS MATERIALIZED (SELECT doc_id AS id, {_TOKENS} AS toks, lang, doc_id % 4 AS segment FROM documents)"
 _TF = "tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(toks) AS term FROM d) GROUP BY ALL)"
 
@@ -246,6 +268,14 @@ def bm25_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(knn.top(bm25.search_index(spark, path, Tokenizer().query(TEXT)), 10))
 
 
+@query(_bm25_sql(where="id IN (SELECT vec_id FROM embeddings)"))
+def bm25_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranked are only ids of another table, statistics cover all documents."""
+    path = scratch(spark, "bm25")
+    bm25.build_index(docs(spark, sf_dir), path)
+    return shown(knn.top(bm25.search_index(spark, path, Tokenizer().query(TEXT), vecs(spark, sf_dir).select("id")), 10))
+
+
 @query(f"WITH {_DOCS}, {_bm25_rows()}, c AS (" + _top("SELECT id, score FROM bm", 40, "id, score") + ") " + _top("SELECT id, score / (SELECT max(score) FROM c) AS score FROM c", 10))
 def text_mode_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(search(docs(spark, sf_dir).select("id", "text"), SearchRequest(text=TEXT)))
@@ -255,9 +285,9 @@ def text_mode_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lists(where: str = "true") -> str:
-    toks = f"d AS MATERIALIZED (SELECT doc_id AS id, {_TOKENS} AS toks, lang, embedding::DOUBLE[] AS e FROM documents JOIN embeddings ON doc_id = vec_id)"
+    toks = f"d AS MATERIALIZED (SELECT doc_id AS id, {_TOKENS} AS toks, lang, embedding::DOUBLE[] AS e FROM documents LEFT JOIN embeddings ON doc_id = vec_id)"
     return f"""{_Q}, {toks}, {_bm25_rows(where=where)},
-      vl AS ({_top(f"SELECT id, {_SCORES[Metric.COSINE]} AS score FROM d, q WHERE {where}", 40, "rank, id, score")}),
+      vl AS ({_top(f"SELECT id, {_SCORES[Metric.COSINE]} AS score FROM d, q WHERE e IS NOT NULL AND {where}", 40, "rank, id, score")}),
       tl AS ({_top("SELECT id, score FROM bm", 40, "rank, id, score")})"""
 
 
@@ -370,7 +400,7 @@ def compaction_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH m AS (SELECT event_id AS id, sha256(props) AS content_hash FROM events) SELECT id FROM (SELECT * FROM m EXCEPT SELECT * FROM m WHERE id % 3 <> 0)")
 def segment_sync_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.sha2("props", 256).alias("content_hash"))
-    return manifest.join(manifest.where("id % 3 <> 0"), ["id", "content_hash"], "left_anti").select("id")
+    return versions.sync_diff(manifest, manifest.where("id % 3 <> 0")).select("id")
 
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type")
@@ -402,6 +432,215 @@ def namespace_indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(catalog.search("vectors", SearchRequest(tuple(vector_of(spark, sf_dir, 0)[0][1]), nprobe=1 << 16)))
 
 
+# all documents and embeddings as one namespace: text where there is a document, a short vector where there is no embedding
+_LIVE = "live AS MATERIALIZED (SELECT id::VARCHAR AS id, CASE WHEN id % 50 = 1 THEN 'tion thre' ELSE text END AS text, e, id % 50 = 1 AS new FROM (SELECT coalesce(vec_id, doc_id) AS id, text, embedding::DOUBLE[] AS e FROM documents FULL JOIN embeddings ON doc_id = vec_id) WHERE id % 10 <> 0)"
+_LIVE_DOCS = f"{_LIVE}, d AS MATERIALIZED (SELECT id, {_TOKENS} AS toks, e, new, 'x' AS lang FROM live)"
+
+
+def _filled(spark: SparkSession, sf_dir: str, indexing: Indexing, table: LiveTable | None = None) -> tuple[Catalog, Namespace]:
+    """A namespace of two segments with deletes, and changes after them: in the log, or in a live table."""
+    catalog = Catalog(spark, scratch(spark, "catalog"), indexing=indexing)
+    if table is not None:
+        catalog.attach("all", table)
+    ns = catalog.namespace("all")
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    width = e.select(F.size("vector")).first()[0]
+    none = F.array(*[F.lit(0.0).cast("float")] * width)
+    rows = d.join(e, "id", "full").select(F.col("id").cast("string").alias("id"), F.coalesce("vector", none).alias("vector"), "text", F.when(F.col("id") % 50 == 1, '{"new": true}').otherwise('{"new": false}').alias("attributes"))
+    number = F.col("id").cast("long")
+    ns.upsert(rows.withColumn("text", F.when(number % 3 == 0, "stale words").otherwise(F.col("text"))), 1)
+    ns.compact()
+    ns.upsert(rows.where(number % 3 == 0), 2)
+    ns.delete(rows.where(number % 20 == 0), 3)
+    ns.compact()
+    fresh = rows.where(number % 50 == 1).withColumn("text", F.lit("tion thre"))
+    gone = rows.where(number % 20 == 10)
+    if table is None:
+        ns.upsert(fresh, 4)
+        ns.delete(gone, 5)
+    else:
+        new = fresh.withColumn("op", F.lit("upsert")).unionByName(gone.select("id", *[F.lit(None).cast(CHANGE[c].dataType).alias(c) for c in ("vector", "text", "attributes")]).withColumn("op", F.lit("delete")))
+        table.merge(new.select(F.lit(4).cast("long").alias("ts"), F.monotonically_increasing_id().alias("seq"), "op", "id", "vector", "text", "attributes"), 0)
+    return catalog, ns
+
+
+@query(f"WITH {_LIVE_DOCS}, {_bm25_rows()}, c AS (" + _top("SELECT id, score FROM bm", 40, "id, score") + ") " + _top("SELECT id, score / (SELECT max(score) FROM c) AS score FROM c", 10))
+def namespace_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 by the postings of the segments, without replaced and deleted rows, and the texts of the log."""
+    catalog, _ = _filled(spark, sf_dir, Indexing(least_rows=1 << 60))
+    return shown(catalog.search("all", SearchRequest(text=TEXT)))
+
+
+@query(f"WITH {_LIVE_DOCS}, {_bm25_rows().replace('lang FROM d', 'lang, new FROM d').replace('WHERE true', 'WHERE NOT new')}, c AS (" + _top("SELECT id, score FROM bm", 40, "id, score") + ") " + _top("SELECT id, score / (SELECT max(score) FROM c) AS score FROM c", 10))
+def namespace_text_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a filter on attributes, after the statistics; the changes are in a live table."""
+    table = LiveTable(spark, scratch(spark, "live"), CHANGE)
+    catalog, _ = _filled(spark, sf_dir, Indexing(least_rows=1 << 60), table)
+    return shown(catalog.search("all", SearchRequest(text=TEXT, filters={"new": False})))
+
+
+def _namespace_lists(alpha: float) -> str:
+    score = f"CASE WHEN e IS NULL THEN 0e0 ELSE {_SCORES[Metric.COSINE]} END"
+    lists = f"{_Q}, {_LIVE_DOCS}, {_bm25_rows()}, vl AS ({_top(f'SELECT id, {score} AS score FROM d, q', 40, 'rank, id, score')}), tl AS ({_top('SELECT id, score FROM bm', 40, 'rank, id, score')})"
+    fused = f"SELECT id, {alpha}::DOUBLE * coalesce(v.score / (SELECT nullif(max(score), 0) FROM vl), 0e0) + (1 - {alpha}::DOUBLE) * coalesce(t.score / (SELECT nullif(max(score), 0) FROM tl), 0e0) AS score FROM vl v FULL JOIN tl t USING (id)"
+    return f"WITH {lists} " + _top(fused, 10)
+
+
+for _kind in ("sq8", "f16", "none"):
+
+    @query(_namespace_lists(0.7), f"namespace_hybrid_{_kind}")
+    def _namespace_hybrid(spark: SparkSession, sf_dir: str, kind: str = _kind) -> DataFrame:
+        """Both lists by the indexes that compaction wrote, all clusters opened, with the log."""
+        catalog, _ = _filled(spark, sf_dir, Indexing(quantization=kind, least_rows=1, clusters=16))
+        return shown(catalog.search("all", SearchRequest(tuple(vector_of(spark, sf_dir, 0)[0][1]), TEXT, nprobe=1 << 16)))
+
+
+@query("SELECT vec_id::VARCHAR AS id, CASE WHEN vec_id % 2 = 0 THEN 'late' ELSE 'first' END AS text FROM embeddings UNION ALL SELECT 'lost writers: ' || 2, NULL")
+def namespace_concurrent_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two compactors at once, one that began with an old manifest, and a writer in flight: no row is lost, the losers fail."""
+    root = scratch(spark, "catalog")
+    a, b = Namespace(spark, root, "n"), Namespace(spark, root, "n")
+    rows = vecs(spark, sf_dir).select(F.col("id").cast("string").alias("id"), "vector", F.lit("first").alias("text"))
+    a.upsert(rows, 1)
+    old = b.manifest()
+    lost = 0
+    with a._writing(old):  # a is at work, b comes
+        try:
+            b.compact()
+        except RuntimeError:
+            lost += 1
+    a.compact()
+    try:
+        b._commit(old.__class__(1))
+    except RuntimeError:
+        lost += 1
+    # a log folder without _SUCCESS is still being written
+    late = rows.where(F.col("id").cast("long") % 2 == 0).withColumn("text", F.lit("late"))
+    a.upsert(late, 2)
+    folder = a.log_files()[0]
+    a.files.rename(f"{folder}/_SUCCESS", f"{folder}/_later")
+    b.compact()
+    a.files.rename(f"{folder}/_later", f"{folder}/_SUCCESS")
+    b.compact()
+    return b.live().select("id", "text").unionByName(spark.createDataFrame([(f"lost writers: {lost}", None)], "id string, text string"))
+
+
+@query("""WITH n AS (SELECT count(*) AS n, count(*) FILTER (vec_id % 4 = 0) AS gone FROM embeddings)
+  SELECT * FROM (SELECT 1::BIGINT AS generation, n AS live, n AS approx_count, 1 AS segments, 0::BIGINT AS tombstones FROM n UNION ALL SELECT 2, n - gone, n, 1, gone FROM n UNION ALL SELECT 3, n - gone, n - gone, 1, 0 FROM n UNION ALL SELECT 4, n, n, 2, 0 FROM n)""")
+def namespace_time_travel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each generation as it was: loaded, a quarter deleted, folded, the quarter upserted again."""
+    ns = Namespace(spark, scratch(spark, "catalog"), "n")
+    rows = vecs(spark, sf_dir).select(F.col("id").cast("string").alias("id"), "vector")
+    quarter = rows.where(F.col("id").cast("long") % 4 == 0)
+    ns.upsert(rows, 1)
+    ns.compact()
+    ns.delete(quarter, 2)
+    ns.compact()
+    ns.fold()
+    ns.upsert(quarter, 3)
+    ns.compact()
+    out = []
+    for g in ns.generations():
+        m = ns.manifest(g)
+        out.append((g, ns.live(g).count(), sum(s.doc_count for s in m.segments), len(m.segments), ns.tombstones(m).count()))
+    return spark.createDataFrame(out, "generation long, live long, approx_count long, segments int, tombstones long")
+
+
+@query("""WITH v AS (SELECT count(*) AS n, count(*) FILTER (vec_id % 5 = 0) AS gone, any_value(len(embedding)) AS d FROM embeddings)
+  SELECT 'big' AS namespace, n AS approx_count, d::INTEGER AS dimensions, false AS pending, 1 AS wal_files, gone AS wal_entries, 1 AS segments, n AS distinct_ids, n - gone AS live, false AS warming FROM v
+  UNION ALL SELECT 'new', 0, NULL, true, 1, gone, 0, 0, gone, false FROM v""")
+def namespace_info_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listing, info, status and statistics of the namespaces of an allow-list; 'hidden' isn't on it."""
+    root = scratch(spark, "catalog")
+    rows = vecs(spark, sf_dir).select(F.col("id").cast("string").alias("id"), "vector")
+    fifth = rows.where(F.col("id").cast("long") % 5 == 0)
+    Catalog(spark, root).namespace("hidden").upsert(fifth, 1)
+    catalog = Catalog(spark, root, allowed=["big", "new"])
+    catalog.namespace("big").upsert(rows, 1)
+    catalog.namespace("big").compact()
+    catalog.namespace("big").delete(fifth, 2)
+    catalog.namespace("new").upsert(fifth, 1)
+    out = []
+    for info in catalog.infos():
+        name = info["namespace"]
+        status, stats = catalog.namespace(name).status(), catalog.stats(name)
+        out.append((name, info["approx_count"], info["dimensions"], info["pending_compaction"], status["wal_files"], status["wal_entries"], status["segments"], stats["distinct_ids"], stats["live"], stats["warming"]))
+    return spark.createDataFrame(out, "namespace string, approx_count long, dimensions int, pending boolean, wal_files int, wal_entries long, segments int, distinct_ids long, live long, warming boolean")
+
+
+@query("SELECT vec_id::VARCHAR AS id FROM embeddings WHERE vec_id % 3 <> 0 UNION ALL SELECT 'rounds with a commit: 2'")
+def namespace_batched_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single changes through the batching writer, compacted at intervals: three batches, of which the last stays in the log."""
+    ns = Namespace(spark, scratch(spark, "catalog"), "n")
+    writer, compactor = BatchedWriter(ns, most=1 << 30, interval="1h"), Compactor(ns, "5m")
+    rows = vecs(spark, sf_dir)
+    ns.upsert(rows.select(F.col("id").cast("string").alias("id"), "vector"), 1)
+    done = [compactor.run_once()]
+    acks = [writer.delete(str(r.id)) for r in rows.where("id % 3 = 0").select("id").toLocalIterator()]
+    writer.flush()
+    done += [compactor.run_once(), compactor.run_once()]
+    acks += [writer.upsert(str(r.id), [float(x) for x in r.vector]) for r in rows.where("id % 300 = 1").toLocalIterator()]
+    writer.close()
+    if not all(a.done() and a.exception() is None for a in acks):
+        raise RuntimeError("a change wasn't acknowledged")
+    return ns.live().select("id").unionByName(spark.createDataFrame([(f"rounds with a commit: {sum(done)}",)], "id string"))
+
+
+@query("SELECT id, seq, value FROM (SELECT user_id AS id, event_id AS seq, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n, event_type, ts FROM events) WHERE n = 1 AND event_type <> 'error' AND epoch_us(ts) > (SELECT (epoch_us(min(ts)) + epoch_us(max(ts))) // 2 FROM events)")
+def buffer_trimmed_by_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A live table after a compaction took all changes up to a time: newer ones stay, tombstones are pruned with theirs."""
+    changes = log(spark, sf_dir).withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")))
+    table = LiveTable(spark, scratch(spark, "live"), changes.schema)
+    table.merge(changes.where("seq % 2 = 0"), 0)
+    table.merge(changes.where("seq % 2 = 1"), 1)
+    lo, hi = changes.agg(F.min("ts"), F.max("ts")).first()
+    table.trim(lo + (hi - lo) // 2)
+    return table.rows().select("id", "seq", "value")
+
+
+_CASES = [
+    (None, "x", None, None, None, "Euclidean"), ([1.0], None, None, "rrf", 0, "dot"), ([1.0], "x", None, "RRF", 5, "cosine"), ([1.0], "x", "text", None, 5000, "unknown"), ([1.0], " ", "vector", "blend", -3, "dot_product"),
+    ([1.0], None, "hybrid", None, 10, None), (None, None, None, None, 10, ""), ([1.0], "x", "other", None, 10, "euclidean_squared"), ([float("nan")], None, None, None, 10, "cosine"), ([1.0], "x", "hybrid", "sum", 12, "COSINE"),
+]
+
+
+def _case_sql() -> str:
+    def lit(v) -> str:
+        return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
+
+    rows = ", ".join(f"({i}, {'true' if v else 'false'}, {'true' if v and v[0] == v[0] else 'false'}, {lit(t)}, {lit(m)}, {lit(f)}, {lit(k)}, {lit(d)})" for i, (v, t, m, f, k, d) in enumerate(_CASES))
+    mode = "CASE WHEN mode IS NOT NULL THEN mode WHEN has_v AND has_t THEN 'hybrid' WHEN has_t THEN 'text' ELSE 'vector' END"
+    ok = "m IN ('text', 'vector', 'hybrid') AND (m = 'text' OR has_v) AND (m = 'vector' OR has_t) AND (finite OR NOT has_v)"
+    return f"""WITH c(n, has_v, finite, text, mode, fusion, k, metric) AS (VALUES {rows}), r AS (SELECT *, trim(coalesce(text, '')) <> '' AS has_t FROM c), s AS (SELECT *, {mode} AS m, CASE WHEN coalesce(k, 0) <= 0 THEN 10 WHEN k > 1000 THEN 1000 ELSE k END AS top FROM r)
+      SELECT n::INTEGER AS n, CASE WHEN {ok} THEN m END AS mode, CASE WHEN {ok} THEN CASE WHEN lower(coalesce(fusion, '')) = 'rrf' THEN 'rrf' ELSE 'blend' END END AS fusion, CASE WHEN {ok} THEN top::INTEGER END AS top_k, CASE WHEN {ok} THEN greatest(4 * top, top + 10)::INTEGER END AS candidates,
+        CASE WHEN lower(coalesce(metric, '')) IN ('euclidean', 'euclidean_squared') THEN 'euclidean_squared' WHEN lower(coalesce(metric, '')) IN ('dot', 'dot_product') THEN 'dot_product' ELSE 'cosine' END AS metric FROM s"""
+
+
+@query(_case_sql())
+def request_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mode, fusion, k, candidates and metric of requests; nulls where a request can't be answered."""
+    out = []
+    for n, (v, t, m, f, k, d) in enumerate(_CASES):
+        request = SearchRequest(tuple(v) if v else None, t, mode=m, fusion=f, top_k=k, distance_metric=d)
+        try:
+            r = request.resolved()
+            out.append((n, r.mode.value, r.fusion.value, r.top_k, r.candidates, request.metric.value))
+        except ValueError:
+            out.append((n, None, None, None, None, request.metric.value))
+    return spark.createDataFrame(out, "n int, mode string, fusion string, top_k int, candidates int, metric string")
+
+
+@query("SELECT * FROM (VALUES ('300', 300e0), ('5m', 300e0), ('1h30m', 5400e0), ('1.5s', 1.5e0), ('250ms', 0.25e0)) t(text, seconds)")
+def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(t, duration(t)) for t in ("300", "5m", "1h30m", "1.5s", "250ms")], "text string, seconds double")
+
+
+@query("SELECT key, value, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS key, unnest(json_extract(props, '$.*'))::VARCHAR AS value FROM events) WHERE value <> 'null' AND left(value, 1) NOT IN ('[', '{') GROUP BY ALL")
+def attribute_index_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribute_index(read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("props").alias("attributes")))
+
+
 # streams
 
 
@@ -460,7 +699,11 @@ def sq8_topk_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(quantize.rerank(coded, vector_of(spark, sf_dir, 0)[0][1], 10, *ranges))
 
 
-@query()
+#: The nearest half: multiples of 2**(exponent - 10), ties to even; below 2**-14 multiples of 2**-24.
+_HALF = "list_transform(embedding::DOUBLE[], lambda x: CASE WHEN x = 0 THEN 0e0 ELSE round_even(x / pow(2e0, greatest(floor(log2(abs(x))), -14) - 10), 0) * pow(2e0, greatest(floor(log2(abs(x))), -14) - 10) END)"
+
+
+@query(f"WITH {_Q}, v AS (SELECT vec_id AS id, {_HALF} AS e FROM embeddings) " + _top(f"SELECT id, {_SCORES[Metric.COSINE]} AS score FROM v, q", 10))
 def f16_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = quantize.half_vectors(quantize.to_half(vecs(spark, sf_dir)))
     return shown(knn.exact_knn(half, vector_of(spark, sf_dir, 0)[0][1], 10))
@@ -478,18 +721,25 @@ def ivf_triangle_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(ivf.search_bounded(placed, index, vector_of(spark, sf_dir, 0)[0][1], 10))
 
 
-@query()
-def ivf_nprobe10_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("SELECT count(*) FILTER (vec_id % 20 = 0) AS queries, true AS recall_reached FROM embeddings")
+def ivf_search_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate search for every twentieth row against all rows, by the clusters that the index opens by default: whether
+    it finds nine tenths of what brute force finds."""
     rows = vecs(spark, sf_dir).select("id", "vector")
-    wanted = vector_of(spark, sf_dir, *BATCH)
+    wanted = rows.where("id % 20 = 0")
     index, placed = ivf.fit(rows)
-    return knn.recall(ivf.search_batch(placed, index, wanted, 10, 10), knn.batch_knn(rows, wanted, 10))
+    found = knn.recall(ivf.search_batch(placed, index, wanted, 10), knn.knn_join(wanted, rows, 10))
+    return found.crossJoin(wanted.agg(F.count("*").alias("queries"))).select("queries", (F.col("recall") >= 0.9).alias("recall_reached"))
 
 
-@query()
+@query("SELECT count(*) AS n, greatest(16, round(sqrt(count(*))))::INTEGER AS clusters, 0::BIGINT AS misplaced, 0::BIGINT AS beyond_radius FROM embeddings")
 def kmeans_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, _ = ivf.fit(vecs(spark, sf_dir).select("id", "vector"))
-    return spark.createDataFrame([(i, [float(x) for x in c], float(r)) for i, (c, r) in enumerate(zip(index.centroids, index.radii))], "cluster int, vector array<double>, radius double")
+    """k-means over all rows: how many clusters, rows that another centroid is nearer to, rows beyond their cluster's radius."""
+    index, placed = ivf.fit(vecs(spark, sf_dir).select("id", "vector"), metric=Metric.EUCLIDEAN)
+    centroids = spark.createDataFrame([(i, [float(x) for x in c], float(r)) for i, (c, r) in enumerate(zip(index.centroids, index.radii))], "c int, centroid array<double>, radius double")
+    d = V.l2_squared(F.col("vector"), F.col("centroid"))
+    near = placed.join(F.broadcast(centroids)).groupBy("id", "cluster").agg(F.min(d).alias("least"), F.min(F.when(F.col("c") == F.col("cluster"), d)).alias("own"), F.min(F.when(F.col("c") == F.col("cluster"), F.col("radius"))).alias("radius"))
+    return near.agg(F.count("*").alias("n"), F.count_if(F.col("own") > F.col("least") + 1e-9).alias("misplaced"), F.count_if(F.sqrt("own") > F.col("radius") + 1e-9).alias("beyond_radius")).select("n", F.lit(len(index.centroids)).alias("clusters"), "misplaced", "beyond_radius")
 
 
 _MEANS = "means AS MATERIALIZED (SELECT label AS cluster, list(x ORDER BY dim) AS c FROM (SELECT label, dim, avg(x) AS x FROM (SELECT label, generate_subscripts(embedding, 1) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY ALL) GROUP BY label)"

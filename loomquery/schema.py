@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass, field
 from enum import StrEnum
 from typing import Any
@@ -42,7 +43,8 @@ class Fusion(StrEnum):
 
 @dataclass(frozen=True)
 class SearchRequest:
-    """A search over one namespace. ``ef_search`` is accepted and has no effect: exact and IVF scans have no such beam."""
+    """A search over one namespace. ``ef_search`` is accepted and has no effect: exact and IVF scans have no such beam.
+    ``nprobe`` None: as many clusters as an index needs for its recall; 0: 10."""
 
     vector: tuple[float, ...] | None = None
     text: str | None = None
@@ -52,7 +54,7 @@ class SearchRequest:
     rrf_k: int = 60
     top_k: int = 10
     ef_search: int | None = None
-    nprobe: int = 10
+    nprobe: int | None = None
     distance_metric: str = "cosine"
     include_vectors: bool = False
     filters: dict[str, Any] | None = field(default=None, hash=False)
@@ -97,3 +99,17 @@ class ResolvedRequest:
 def candidates(k: int) -> int:
     """How many candidates each list keeps before fusion."""
     return max(4 * k, k + 10)
+
+
+_UNITS = {"ns": 1e-9, "us": 1e-6, "µs": 1e-6, "ms": 1e-3, "s": 1.0, "m": 60.0, "h": 3600.0, "d": 86400.0}
+
+
+def duration(text: str) -> float:
+    """Seconds of a duration as people write it: 300, 5m, 1h30m, 1.5s, 250ms."""
+    parts = re.findall(r"(\d+(?:\.\d+)?)\s*(ns|us|µs|ms|s|m|h|d)", text.strip().lower())
+    if not parts or "".join(a + b for a, b in parts) != re.sub(r"\s", "", text.lower()):
+        try:
+            return float(text)
+        except ValueError:
+            raise ValueError(f"not a duration: {text}") from None
+    return sum(float(a) * _UNITS[b] for a, b in parts)

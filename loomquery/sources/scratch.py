@@ -1,4 +1,4 @@
-"""A folder for written intermediate tables: the cluster's spark.checkpoint.dir, else a temporary one."""
+"""A folder for written intermediate tables: the shared one that the cluster names in spark.checkpoint.dir."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-_own: list[str] = []
 _written: list[str] = []
 
 
@@ -33,13 +32,21 @@ def release(spark: SparkSession) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def root(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir. Where it is unset, a session within this process (master local) gets one in the
+    temporary folder; executors of a cluster would each write to their own disks there, so that is a ValueError."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="loomquery-")
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A path below it that isn't in use."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="loomquery-"))
-            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
-        root = _own[0]
-    _written.append(f"{root}/{name}-{uuid.uuid4().hex}")
+    _written.append(f"{root(spark)}/{name}-{uuid.uuid4().hex}")
     return _written[-1]

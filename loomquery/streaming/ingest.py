@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loomquery.operators import versions
-from loomquery.sources.store import Files
+from loomquery.sources.files import Files
 
 
 class LiveTable:
@@ -51,11 +51,33 @@ class LiveTable:
             self.compact()
 
     def compact(self) -> None:
-        """Fold all deltas into a new base; the base is whole before anything older goes."""
-        old, v = self._parts(), self.version()
-        if len(old) > 1:
+        """Fold all deltas into a new base; the base is whole before anything older goes. What the base replaces goes only
+        with the next fold, so readers that planned with it can finish."""
+        now, v = self._parts(), self.version()
+        if len(now) > 1:
             self.changes().write.mode("overwrite").parquet(f"{self.path}/base={v}")
-            for part in old:
+            for part in self._older(now):
+                self.files.delete(part)
+
+    def _older(self, used: list[str]) -> list[str]:
+        """Folders that neither a reader of the parts used nor one of the new base needs."""
+        held = {*used, *self._parts()}
+        return [f"{self.path}/{n}" for n in self.files.list(self.path) if n.startswith(("base=", "delta=")) and f"{self.path}/{n}" not in held and int(n.split("=")[1]) < self.version()]
+
+    def __len__(self) -> int:
+        """Ids that the table holds a change of."""
+        return self.changes().count()
+
+    def trim(self, watermark: int) -> None:
+        """Forget the changes up to a time, those that a compaction has taken: the rest becomes the new base."""
+        now, v = self._parts(), self.version()
+        if v >= 0:
+            kept = self.changes().where(F.col("ts") > watermark)
+            beside = f"{self.path}/_trim={v}"
+            kept.write.mode("overwrite").parquet(beside)  # the base may be read while it is made
+            self.files.delete(f"{self.path}/base={v}")
+            self.files.rename(beside, f"{self.path}/base={v}")
+            for part in self._older(now):
                 self.files.delete(part)
 
 

@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from loomquery.functions.text import Tokenizer, UNICODE_WORD, stem_word
+from loomquery.functions.text import Tokenizer, stem_word
 from loomquery.operators import bm25, fusion, knn
 
 
@@ -16,9 +16,19 @@ def test_tokenizer(spark):
     assert tokens(spark, "running runner") == ["running", "runner"]
     assert tokens(spark, "foo-bar é x " + "y" * 33) == ["foo", "bar", "é"]
     assert tokens(spark, None) == []
-    assert tokens(spark, "can't 3.5 end.", pattern=UNICODE_WORD) == ["can't", "3.5", "end"]
-    t = Tokenizer()
-    assert t.query("The Quick fox") == tokens(spark, "The Quick fox")
+    assert tokens(spark, "can't 3.5 end.") == ["can't", "3.5", "end"]
+    assert tokens(spark, "can't 3.5 end.", pattern=r"\w+") == ["can", "end"]
+
+
+@pytest.mark.parametrize("text,want", [("U.S.A. 1,234.5; 12:30 o’neil", ["u.s.a", "1,234.5", "12", "30", "o’neil"]), ("漢字かな カタカナ", ["漢", "字", "か", "な", "カタカナ"]), ("a.3 3.a x__y __zz ___ foo_", ["x__y", "__zz", "foo_"]), ("'quoted' (don't.stop)", ["quoted", "don't.stop"]), ("नमस्ते ñu naïve", ["नमस्ते", "ñu", "naïve"]), ("", [])])
+def test_unicode_words(spark, text, want):
+    assert tokens(spark, text) == want == Tokenizer().query(text)
+
+
+def test_words_of_any_length(spark):
+    """Neither overflows the matcher's stack nor is cut."""
+    text = "a1" * 50_000 + " " + "1,2" * 50_000 + " " + "x.y" * 50_000
+    assert [len(w) for w in tokens(spark, text, most=1 << 20)] == [100_000, 150_000, 150_000]
 
 
 @pytest.mark.parametrize("word,stem", [("running", "run"), ("jumps", "jump"), ("caresses", "caress"), ("ponies", "poni"), ("ties", "tie"), ("relational", "relat"), ("hopeful", "hope"), ("generalization", "general"), ("happy", "happi"), ("skies", "sky"), ("hopping", "hop"), ("hoping", "hope"), ("agreed", "agre"), ("national", "nation"), ("probate", "probat"), ("controll", "control"), ("communication", "communic"), ("by", "by")])
@@ -26,8 +36,57 @@ def test_stems(word, stem):
     assert stem_word(word) == stem
 
 
-def test_other_languages_are_not_stemmed():
-    assert stem_word("nationen", "german") == "nationen"
+#: Words of the published vocabularies.
+VOCABULARIES = {
+    "de": "aufeinander:aufeinand aufeinanderfolge:aufeinanderfolg kategorie:kategori kategorischen:kategor häuser:haus laufen:lauf kleinigkeiten:kleinig schönheit:schonheit ergebnisse:ergebnis straße:strass bauern:bau",
+    "fr": "continu:continu continua:continu continuait:continu continuellement:continuel majestueusement:majestu majorité:major mains:main maintenait:mainten mangeaient:mang chevaux:cheval bateaux:bateau nationalité:national contradiction:contradict constamment:const",
+    "es": "chicas:chic cheque:chequ torearon:tor toros:tor torres:torr naciones:nacion rápidamente:rapid comprándolo:compr haciendo:hac hablábamos:habl",
+    "it": "abbandonata:abbandon abbandonavano:abbandon abbandonerò:abbandon pronto:pront pronunciata:pronunc proporzione:proporzion abitanti:abit",
+    "pt": "quilométricas:quilométr quilos:quil quilômetro:quilômetr boa:boa nações:naçõ rapidamente:rapid falando:fal",
+    "nl": "lichamelijk:licham lichamelijkheden:licham lichaamsziek:lichaamsziek lichten:licht opgingen:opging opglimpende:opglimp maan:man brood:brod",
+    "sv": "jaktkarlarne:jaktkarl jaktkarlens:jaktkarl klokheten:klok klockornas:klock",
+    "no": "havnedistriktene:havnedistrikt havnedistrikter:havnedistrikt havneeffekter:havneeffekt oppmerksomhet:oppmerksom",
+    "ru": "вагона:вагон важнейшие:важн пьесу:пьес павлович:павлович паденье:паден валерьянка:валерьянк красивый:красив читающий:чита",
+    "en": "dying:die lying:lie consign:consign consigned:consign consistency:consist knackeries:knackeri knightly:knight",
+}
+
+
+@pytest.mark.parametrize("language", VOCABULARIES)
+def test_stemmers_of_languages(language):
+    for pair in VOCABULARIES[language].split():
+        word, stem = pair.split(":")
+        assert stem_word(word, language) == stem
+
+
+def test_languages_by_name_and_unknown_ones():
+    assert stem_word("häuser", "German") == "haus"
+    assert stem_word("running", "klingon") == "run"
+    for language in VOCABULARIES:
+        for odd in ("", "a", "ab", "aaa", "zzz", "é", "ß", "12"):
+            stem_word(odd, language)
+
+
+def test_stemmed_query_by_brute_force(spark):
+    """stemmed_bm25_top10 over the whole table, against BM25 by hand over stems of every token."""
+    import os
+
+    from loomquery.queries import QUERIES
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.exists(data):
+        pytest.skip("the tables aren't here")
+    t = Tokenizer(stem=True)
+    docs = {r.doc_id: t.query(r.text or "") for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    terms, n, avg = t.query("tions thered onesen"), len(docs), sum(map(len, docs.values())) / len(docs)
+    score = {}
+    for d, own in docs.items():
+        for term in terms:
+            f, df = own.count(term), sum(term in x for x in docs.values())
+            if f:
+                score[d] = score.get(d, 0) + math.log((n - df + 0.5) / (df + 0.5) + 1) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(own) / avg))
+    want = sorted(score.items(), key=lambda x: (-round(x[1], 9), x[0]))[:10]
+    got = [(r.id, r.score) for r in QUERIES["stemmed_bm25_top10"](spark, data).orderBy("rank").collect()]
+    assert [i for i, _ in got] == [i for i, _ in want] and [s for _, s in got] == pytest.approx([s for _, s in want], abs=1e-6)
 
 
 DOCS = [(1, "apple banana apple"), (2, "banana cherry"), (3, None)]

@@ -103,8 +103,11 @@ def test_ivf(spark):
     assert placed.where("cluster = -1").count() == 1
     index, placed = ivf.fit(table, k=8, metric=Metric.EUCLIDEAN)
     assert [r.id for r in ivf.search_bounded(placed, index, v[5], 5).collect()] == [r.id for r in knn.exact_knn(table, v[5], 5, Metric.EUCLIDEAN).collect()]
-    batch = ivf.search_batch(placed, index, [(1, v[1]), (2, v[2])], 3, nprobe=8)
-    assert knn.recall(batch, knn.batch_knn(table, [(1, v[1]), (2, v[2])], 3, Metric.EUCLIDEAN)).first()[0] == 1
+    for block in (5, 20_000):
+        batch = ivf.search_batch(placed, index, table.where("id in (1, 2)"), 3, nprobe=8, block_rows=block)
+        want = knn.batch_knn(table, [(1, v[1]), (2, v[2])], 3, Metric.EUCLIDEAN)
+        assert knn.recall(batch, want).first()[0] == 1
+        assert [tuple(r)[:3] for r in batch.orderBy("query_id", "rank").collect()] == [tuple(r)[:3] for r in want.orderBy("query_id", "rank").collect()]
     assert [ivf.cluster_count(n) for n in (4, 100, 1_000_000)] == [4, 16, 1000]
     assert not ivf.use_index(9_999) and ivf.use_index(10_000)
 
@@ -117,3 +120,35 @@ def test_kmeans_is_fitted_on_all_rows(spark, monkeypatch):
     whole, _ = ivf.fit(table, k=4)
     monkeypatch.setattr(ivf, "FIT_ROWS", 50, raising=False)
     assert np.array_equal(ivf.fit(table, k=4)[0].centroids, whole.centroids)
+
+
+def test_distances_are_the_same_in_batches_of_any_size():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    table, queries = r.normal(1000, 1, (9000, 64)), r.normal(1000, 1, (9, 64))
+    exact = ((queries[:, None, :50] - table[None, :, :50]) ** 2).sum(2) + ((queries[:, None, 50:] - table[None, :, 50:]) ** 2).sum(2)
+    all_at_once = knn.distances(table, queries, Metric.EUCLIDEAN)
+    assert np.abs(all_at_once - exact).max() < 1e-9
+    assert np.array_equal(all_at_once[:, 17:19], knn.distances(table[17:19], queries, Metric.EUCLIDEAN)) or np.abs(all_at_once[:, 17:19] - knn.distances(table[17:19], queries, Metric.EUCLIDEAN)).max() < 1e-12
+
+
+def test_default_probes_reach_the_recall(spark):
+    """On vectors without clusters nearly all have to be opened, on well-kept ones few."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    for v, few in ((r.normal(size=(1500, 16)), False), (r.normal(size=(12, 16))[np.arange(1500) % 12] * 20 + r.normal(size=(1500, 16)), True)):
+        table = rows(spark, v)
+        index, placed = ivf.fit(table, k=24)
+        assert (index.probes <= 8) == few
+        wanted = table.where("id % 20 = 0")
+        assert knn.recall(ivf.search_batch(placed, index, wanted, 10), knn.knn_join(wanted, table, 10)).first()[0] >= 0.9
+
+
+def test_halves_of_nulls_and_odd_lengths(spark):
+    table = spark.createDataFrame([(0, [1.0, -2.5]), (1, None), (2, []), (3, [65504.0, 1e-8, 0.1])], "id long, vector array<float>")
+    got = {r.id: r.vector for r in quantize.half_vectors(quantize.to_half(table)).collect()}
+    import numpy as np
+
+    assert got == {0: [1.0, -2.5], 1: None, 2: [], 3: [float(x) for x in np.array([65504.0, 1e-8, 0.1], np.float16).astype(np.float32)]}
