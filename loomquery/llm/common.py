@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loomquery.sources.scratch import scratch
 
 #: Characters of text that a kernel handles at once; longer texts are a block of their own.
-BLOCK_CHARS = 1 << 19
+BLOCK_CHARS = 1 << 18
 #: A side of a join is broadcast only if it was counted and is estimated to be at most this large.
 BROADCAST_BYTES = 32 << 20
 #: What a row takes in a broadcast table besides its values, and what an id takes.
@@ -128,6 +128,7 @@ def pieces(batch: pa.RecordBatch, column: str, chars: int = BLOCK_CHARS) -> Iter
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + chars, "right")))
         yield batch.slice(at, to - at)
         at = to
+    pa.default_memory_pool().release_unused()  # else a worker holds the batches it is done with
 
 
 def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, column: str = "text", chars: int = BLOCK_CHARS) -> DataFrame:

@@ -143,15 +143,17 @@ def word_hashes(block: Block) -> tuple[np.ndarray, np.ndarray]:
 class SortedHash:
     """Keys in the order of their hashes, found through a directory of the leading hash bits."""
 
-    keys: np.ndarray
+    keys: np.ndarray | None
     hashes: np.ndarray = field(init=False)
-    order: np.ndarray = field(init=False)
+    order: np.ndarray | None = field(init=False)
+    size: int = field(init=False)
     shift: np.uint64 = field(init=False)
     heads: np.ndarray = field(init=False)
     depth: int = field(init=False)
 
     def __post_init__(self):
         h = mix(self.keys)
+        self.size = len(h)
         self.order = np.argsort(h)
         self.hashes = h[self.order]
         bits = max(4, int(len(h)).bit_length() + 1)
@@ -160,16 +162,20 @@ class SortedHash:
         self.depth = int(np.diff(self.heads).max(initial=0))
         self.hashes = np.append(self.hashes, np.zeros(self.depth + 1, np.uint64))
 
+    def slim(self) -> None:
+        """Forget the keys: ``find`` doesn't need them."""
+        self.keys = self.order = None
+
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The row of each key, -1 where it is missing."""
         h = mix(keys)
         at = self.heads[h >> self.shift]
-        out = np.where((self.hashes[at] == h) & (at < len(self.order)), at, -1)
+        out = np.where((self.hashes[at] == h) & (at < self.size), at, -1)
         left = np.flatnonzero(out < 0)
         for j in range(1, self.depth):
             if not len(left):
                 break
-            hit = (self.hashes[at[left] + j] == h[left]) & (at[left] + j < len(self.order))
+            hit = (self.hashes[at[left] + j] == h[left]) & (at[left] + j < self.size)
             out[left[hit]] = at[left[hit]] + j
             left = left[~hit]
         return out

@@ -143,6 +143,8 @@ def kneser_ney(grams: list[tuple[np.ndarray, np.ndarray]], languages: list[str],
         tables.append((table, np.log(probs).astype(np.float32)))
         contexts.append((held, np.log(backoff).astype(np.float32)))
         below = table
+    for held, _ in (*tables, *contexts):
+        held.slim()
     return Model(languages, tables, contexts, unseen.astype(np.float32))
 
 

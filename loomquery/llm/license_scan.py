@@ -9,8 +9,9 @@ A copy isn't verified if a word that tells variants apart (``told_apart``) was a
 Templates are the full texts in ``licenses/`` (``<id>-full``), standard notices, titles (``<id>-name``) and SPDX tags.
 
 Defined cases: null, empty or short texts match nothing; rows with a null ``doc_id`` aren't reported; repeated rows
-report each span once; of overlapping spans the one
-with most words found is reported, then the best score, then the first name; empty tables give empty results; other columns play no part.
+report each span once; of overlapping spans the one with most words found is reported, then the best score, then the
+first name; a license that is repeated, back to back too, is reported each time; a very long text is scanned whole, in one
+block of about 60 bytes a character; empty tables give empty results; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -26,13 +27,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import kernels as K
-from .common import lists, map_text, materialise, pieces, read, signed, sized, texts_of
+from .common import lists, map_text, materialise, pieces, read, signed, sized, small, texts_of
 
 GRAM = 3
 #: Diagonals that lie apart by at most so many words are one span.
 NEIGHBOUR = 3
 #: Votes of a span, as a share of the template's k-grams, that make it worth verifying; words found that verify it.
 VOTES, FOUND = 0.4, 0.75
+#: What a span takes in a broadcast table.
+SPAN_BYTES = 64
 
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
@@ -233,7 +236,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, found: float
     templates = all_templates() if templates is None else templates
     kind = docs.schema["doc_id"].dataType.simpleString()
     sides = spans(docs, templates, k, **options).groupBy(F.col("doc_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("license", "from", "to"))).alias("spans"))
-    sides = sized(materialise(sides, "license-spans"), 96)
+    sides = materialise(sides, "license-spans")
+    # a row holds as many spans as its document: counted as such
+    sides = F.broadcast(sides) if small(sides.agg(F.coalesce(F.sum(F.size("spans") + 1), F.lit(0))).first()[0], SPAN_BYTES) else sides
     words, apart, last = {}, {}, {}
     for name, text in templates.items():
         block = K.Block([text])

@@ -242,6 +242,72 @@ def test_viterbi_by_brute_force():
             assert tuple(y) == max(itertools.product((0, 1), repeat=len(x)), key=value)
 
 
+def test_gradient_by_finite_differences():
+    r = np.random.default_rng(2)
+    pages = [r.integers(0, 2, (n, 5)).astype(np.float32) for n in (1, 4, 7)]
+    data = html_crf.Examples(pages, [r.integers(0, 2, len(p)).tolist() for p in pages])
+    weights = [r.normal(size=s) for s in ((5, 2), (2, 2), 2, 2)]
+    _, grads = html_crf.likelihood(weights, data, 0.1)
+    for i, w in enumerate(weights):
+        for at in np.ndindex(w.shape):
+            sides = []
+            for step in (1e-5, -1e-5):
+                moved = [x.copy() for x in weights]
+                moved[i][at] += step
+                sides.append(html_crf.likelihood(moved, data, 0.1)[0])
+            assert grads[i][at] == pytest.approx((sides[0] - sides[1]) / 2e-5, abs=1e-6)
+
+
+def test_likelihood_by_brute_force():
+    import itertools
+    import math
+
+    r = np.random.default_rng(3)
+    x = r.integers(0, 2, (4, 3)).astype(np.float32)
+    w = [r.normal(size=s) for s in ((3, 2), (2, 2), 2, 2)]
+    score = lambda y: sum((x[i] @ w[0])[l] for i, l in enumerate(y)) + sum(w[1][a, b] for a, b in zip(y, y[1:])) + w[2][y[0]] + w[3][y[-1]]  # noqa: E731,E741
+    want = score((0, 1, 1, 0)) - math.log(sum(math.exp(score(y)) for y in itertools.product((0, 1), repeat=4)))
+    assert html_crf.likelihood(w, html_crf.Examples([x], [[0, 1, 1, 0]]), 0.0)[0] == pytest.approx(want)
+
+
+@pytest.mark.skipif(not os.path.exists(DATA), reason="the tables aren't here")
+def test_extraction_query_against_a_parser(spark):
+    """What the query keeps of the given pages, word by word, against the texts of their article elements, which another
+    parser reads."""
+    from collections import Counter
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.hidden, self.words, self.seen = 0, 0, [], False
+
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag == "article"
+            self.seen |= tag == "article"
+            self.hidden += tag in ("script", "style")
+
+        def handle_endtag(self, tag):
+            self.inside -= tag == "article"
+            self.hidden -= tag in ("script", "style")
+
+        def handle_data(self, data):
+            if self.inside > 0 and self.hidden <= 0:
+                self.words += data.split()
+
+    got = {r.page_id: r.text for r in html_crf.op8_html_extract(spark, DATA).collect()}
+    pages = spark.read.parquet(f"{DATA}/pages.parquet").collect()
+    assert got.keys() == {p.page_id for p in pages}
+    kept = wanted = both = 0
+    for p in pages:
+        gold = Article()
+        gold.feed(p.html)
+        if gold.seen:
+            a, b = Counter(got[p.page_id].split()), Counter(gold.words)
+            kept, wanted, both = kept + a.total(), wanted + b.total(), both + (a & b).total()
+    assert wanted > 1000 and both / kept > 0.95 and both / wanted > 0.95
+
+
 def test_parser_and_odd_pages(spark):
     page = '<p>one &amp; two<p>three <a href="x">link</a><script>var t = "</p>";</script><!-- no <p>comment --><div class="ad">buy'
     assert [(b.text, b.tags[-1], round(b.links, 2)) for b in html_crf.leaves(page)] == [("one & two", "p", 0), ("three link", "p", 0.44), ("buy", "div", 0)]

@@ -276,3 +276,67 @@ def test_repeated_lines_are_all_reported(spark):
     lines = "All rights reserved.\n" * 7
     got = sorted((r.start, r.end) for r in license_scan.scan(table(spark, [(1, lines, None)])).collect())
     assert got == [(21 * i, 21 * i + 19) for i in range(7)]
+
+
+def longest_common(a, b):
+    """Length of a longest common subsequence, by the textbook's table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = row
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+    return row[-1]
+
+
+def test_licenses_by_brute_force(spark):
+    """Copies of made-up templates, some changed in a few words, at random places of random texts, back to back too: all
+    spans and scores."""
+    r = random.Random(31)
+    word = lambda p: p + "".join(r.choice("bcdfghjklm") for _ in range(6))
+    templates = {f"T{i}": " ".join(word("q") for _ in range(r.randint(18, 40))) for i in range(6)}
+    docs, want = [], set()
+    for d in range(25):
+        text = ""
+        for _ in range(r.randint(1, 7)):
+            text += " ".join(word("x") for _ in range(r.choice([0, 1, 4, 90, 3000 if d == 0 else 9]))) + " "
+            name = r.choice(sorted(templates))
+            own, kept = templates[name].split(), templates[name].split()
+            for _ in range(r.choice([0, 0, 1, 2])):
+                at = r.randrange(3, len(own) - 3)
+                own[at : at + 1] = r.choice([[], [word("x")], [own[at], word("x")]])
+            at = len(text)
+            text += " ".join(own) + "\n"
+            want.add((d, name, at, at + len(" ".join(own)), round(longest_common(kept, own) / len(kept), 6)))
+        docs.append((d, text, None))
+    got = {tuple(x) for x in license_scan.scan(table(spark, docs), templates).collect()}
+    assert got == want
+
+
+@needs_data
+def test_license_query_by_brute_force(spark):
+    """Over the whole table: each verbatim template is covered by a span of at least as many words, and the score of each
+    span is that of a longest common subsequence of its words."""
+    words = lambda t: [(t[a:b].lower(), a, b) for a, b in zip(*(x.tolist() for x in K.word_spans(K.Block([t]))[:2]))]
+    templates = {n: [w for w, _, _ in words(t)] for n, t in license_scan.all_templates().items()}
+    begins = defaultdict(list)
+    for n, w in templates.items():
+        begins[w[0], w[1]].append((n, w))
+    found = defaultdict(list)
+    for x in license_scan.op7_license_scan(spark, DATA).collect():
+        found[x.doc_id].append(x)
+    checked = 0
+    for row in spark.read.parquet(f"{DATA}/documents.parquet").collect():
+        own = words(row.text or "")
+        only = [w for w, _, _ in own]
+        for x in found[row.doc_id]:
+            inside = [w for w, a, b in own if x.start <= a and b <= x.end]
+            assert round(longest_common(templates[x.license], inside) / len(templates[x.license]), 6) == x.score
+        for i, pair in enumerate(zip(only, only[1:])):
+            for n, w in begins.get(pair, ()):
+                if only[i : i + len(w)] == w and license_scan.GRAM <= len(w):
+                    checked += 1
+                    a, b = own[i][1], own[i + len(w) - 1][2]
+                    # the license's own span, a longer one that overlaps it, or none where the words after it name another version
+                    assert any(x.start < b and a < x.end for x in found[row.doc_id]), (row.doc_id, n, row.text[a - 20 : b + 40])
+    assert checked > 3
