@@ -10,7 +10,9 @@ of a block are compared with its bytes, so two slices of one hash can't pass for
 offset.
 
 Defined cases: null text gives null lists, empty text empty ones; special tokens are ordinary text; unknown ids make
-``decode`` raise; a null ``ids`` decodes to null; rows without an id or repeated rows are encoded like any others.
+``decode`` raise; a null ``ids`` decodes to null; rows without an id or repeated rows are encoded like any others; of pairs
+of one rank the leftmost is merged first; a very long text is one block of about 60 bytes a character, and a slice without
+a boundary is merged in n log n steps; an empty table gives no rows; other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from . import kernels as K
@@ -31,6 +34,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 CACHE_SLICES, CACHE_BITS = 300_000, 20
 #: Slices of more bytes are merged one by one with a heap, in n log n steps.
 LONG_SLICE = 256
+#: Tokens that are decoded at once.
+DECODE_TOKENS = 1 << 18
 SCAN = 128
 _END, _L, _N, _O, _W, _P, _C1, _C2 = range(8)
 _SL, _SN, _SO, _SW, _SP, _SQ, _A2, _A3 = range(8)
@@ -366,12 +371,18 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     def run(batches):
         e = encoder(vocabulary)
         for batch in batches:
-            lists = batch.column("ids")
-            n = np.array([0 if x is None else x for x in lists.value_lengths().to_pylist()], np.int64)
-            data, size = e.decode(lists.flatten().to_numpy(zero_copy_only=False), n)
-            data, ends = data.tobytes(), np.cumsum(size).tolist()
-            text = [data[b - s : b].decode("utf-8", "replace") if ok else None for b, s, ok in zip(ends, size.tolist(), lists.is_valid().to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(text, pa.string())], ["doc_id", "text"])
+            ends = np.cumsum(pc.fill_null(batch.column("ids").value_lengths(), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            at = 0
+            while at < batch.num_rows:  # runs of rows of bounded length
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + DECODE_TOKENS, "right")))
+                part = batch.slice(at, to - at)
+                lists = part.column("ids")
+                n = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                data, size = e.decode(lists.flatten().to_numpy(zero_copy_only=False), n)
+                data, to_byte = data.tobytes(), np.cumsum(size).tolist()
+                text = [data[b - s : b].decode("utf-8", "replace") if ok else None for b, s, ok in zip(to_byte, size.tolist(), lists.is_valid().to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(text, pa.string())], ["doc_id", "text"])
+                at = to
 
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
 

@@ -8,8 +8,9 @@ digests (about 2 % of the text) are ever shuffled; a text is read once and never
 
 Defined cases: null texts are copies of nothing and stay; empty texts are copies of one another; the row of the
 smallest ``doc_id`` of a group is its original; rows with a null ``doc_id`` are originals only of groups that have
-no other, and those of a group with another row go; of rows repeated with one doc_id and text one stays; other
-columns play no part and are kept by ``deduplicate``.
+no other, and those of a group with another row go; of rows repeated with one doc_id and text one stays, and ties go to
+the smallest id; an empty table has no copies; a very long text is cut whole, in one block of about 30 bytes a byte; other
+columns, whatever their names, play no part and are kept by ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import fresh, lists, map_text, materialise, read, sized, text_key
+from .common import fresh, lists, map_text, materialise, possible, read, sized, small, text_key
 
 #: Bytes under the rolling hash; a cut where its low bits are zero: one in 2**CUT_BITS bytes.
 WINDOW, CUT_BITS = 32, 11
@@ -112,14 +113,21 @@ def deduplicate(docs: DataFrame, hash_bits: int = HASH_BITS) -> DataFrame:
     """docs with one row of each group of copies."""
     found = materialise(groups(docs, hash_bits), "copies")
     names = docs.columns
-    key, d, k = fresh(docs, "text_key"), "drop_id", "drop_key"
+    key, maybe, d, k = fresh(docs, "text_key"), fresh(docs, "maybe_copy"), "drop_id", "drop_key"
     while {d, k} & {c.lower() for c in names}:
         d, k = "_" + d, "_" + k
     keyed = docs.withColumn(key, text_key(F.col("text")))
 
     def rows(which: DataFrame, how: str) -> DataFrame:
-        side = sized(which.select(F.col("doc_id").alias(d), F.col("key").alias(k)).distinct(), 24)
-        return keyed.join(side, keyed["doc_id"].eqNullSafe(side[d]) & (keyed[key] == side[k]), how)
+        side = materialise(which.select(F.col("doc_id").alias(d), F.col("key").alias(k)).distinct(), "copy-keys")
+        same = lambda of, other: of.join(other, of["doc_id"].eqNullSafe(other[d]) & (of[key] == other[k]), how)
+        n = side.count()
+        if small(n, 24):
+            return same(keyed, F.broadcast(side))
+        # texts whose key isn't among them don't move
+        marked = keyed.withColumn(maybe, possible(F.col(key), side.select(k), n))
+        met = same(marked.where(maybe), side)
+        return (met if how == "left_semi" else met.unionByName(marked.where(~F.col(maybe)))).drop(maybe)
 
     gone = found.where("not doc_id <=> keep_id")
     again = found.where("doc_id <=> keep_id and n > 1")

@@ -31,8 +31,9 @@ def corpus():
     return pairs
 
 
-@pytest.mark.parametrize("bits", [64, 3])
-def test_exact(spark, corpus, bits):
+@pytest.mark.parametrize("bits,limit", [(64, common.BROADCAST_BYTES), (3, common.BROADCAST_BYTES), (64, 0)])
+def test_exact(spark, corpus, bits, limit, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", limit)
     docs = rows(spark, corpus)
     want, keep = set(), Counter()
     for text, group in itertools.groupby(sorted((x for x in corpus if x[1] is not None), key=lambda x: x[1]), key=lambda x: x[1]):

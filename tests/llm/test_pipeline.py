@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 
@@ -51,5 +52,24 @@ def test_stages_keep_the_columns(spark):
         assert stage(spark, docs.limit(0), DATA).count() == 0
 
 
+def test_stages_over_an_odd_table(spark, tmp_path):
+    """Nulls in every column, empty, very long, repeated and copied texts, and an empty table, through all stages in turn."""
+    real = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in spark.read.parquet(f"{DATA}/documents.parquet").limit(60).collect()]
+    pool = " ".join(t for _, t, lang, _, _ in real if lang == "en").split()
+    long = " ".join(random.Random(1).choices(pool, k=60_000))  # no passage of the benchmark is left in it
+    odd = [(None, None, None, None, None), (9001, None, "en", None, 0), (9002, "", None, "x", 0), (9003, "12 34 !!", None, None, None), (9004, long, None, None, None), (None, long + " in another end", None, None, None), (9005, long, "en", "y", 1), (9004, long, None, None, None), *real[:3]]
+    for i, rows in enumerate((real + odd, [])):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+        for name, stage in corpus_pipeline.STAGES:
+            path = str(tmp_path / f"{name}-{i}")
+            stage(spark, docs, DATA).write.parquet(path)
+            docs = spark.read.parquet(path)
+        out = docs.collect()
+        assert docs.columns == ["doc_id", "ids", "offsets", "round_trip"] and all(r.round_trip for r in out)
+        ids = [r.doc_id for r in out]
+        assert not {9001, 9002, 9003, 9005} & set(ids) and len([x for x in ids if x is not None]) == len({x for x in ids if x is not None})
+        assert bool(rows) == bool(out) and (not rows or ids.count(9004) == 1)
+
+
 def test_modules():
     assert all(m.__doc__ and "Defined cases" in m.__doc__ for m in (bpe, decontaminate, exact_dedup, langid, near_dedup))

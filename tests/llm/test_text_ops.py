@@ -110,6 +110,13 @@ def test_language_ids_of_odd_tables(spark):
     assert langid.keep_identified(unlabelled).collect() == []
 
 
+def test_a_very_long_text_is_identified_as_its_parts(spark):
+    train = table(spark, [(i, "the quick brown fox jumps over the lazy dog and runs away from the old house", "en") for i in range(8)] + [(100 + i, "der schnelle braune fuchs springt und läuft aus dem alten haus davon", "de") for i in range(8)])
+    model = langid.train(train)
+    long = table(spark, [(1, "the old dog runs over the brown house " * 60_000, None), (2, "das alte haus und der fuchs " * 80_000, None)])
+    assert {(r.doc_id, r.lang_id) for r in langid.identify(long, model).collect()} == {(1, "en"), (2, "de")}
+
+
 # decontamination
 
 ITEMS = [(1, "Tom has 5 apples and buys 3 more apples from Anna for 2 dollars each. How many apples does Tom have now?"), (2, "tiny item here"), (3, None), (4, ""), (None, "an item without any id at all in this list"), (5, "The train of 1,200 tons leaves Paris at 9 and the ship leaves Paris at 9 too")]
@@ -299,7 +306,7 @@ def test_licenses_by_brute_force(spark):
     for d in range(25):
         text = ""
         for _ in range(r.randint(1, 7)):
-            text += " ".join(word("x") for _ in range(r.choice([0, 1, 4, 90, 3000 if d == 0 else 9]))) + " "
+            text += " ".join(word("x") for _ in range(r.choice([0, 1, 4, 90, 30_000 if d == 0 else 9]))) + " "
             name = r.choice(sorted(templates))
             own, kept = templates[name].split(), templates[name].split()
             for _ in range(r.choice([0, 0, 1, 2])):
