@@ -69,7 +69,7 @@ def weight(tf: Column, dl: Column, avgdl: Column, k1: float = K1, b: float = B)
 
 
 def _count(tokens: Column, term: str) -> Column:
-    return F.size(F.filter(tokens, lambda x: x == term))
+    return F.size(tokens) - F.size(F.array_remove(tokens, term))
 
 
 def score(docs: DataFrame, terms: list[str], tokenizer: Tokenizer = Tokenizer(), where: Column | None = None, segment: str | None = None, k1: float = K1, b: float = B) -> DataFrame:
