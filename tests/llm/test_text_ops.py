@@ -110,11 +110,16 @@ def test_language_ids_of_odd_tables(spark):
     assert langid.keep_identified(unlabelled).collect() == []
 
 
+@needs_data
 def test_a_very_long_text_is_identified_as_its_parts(spark):
-    train = table(spark, [(i, "the quick brown fox jumps over the lazy dog and runs away from the old house", "en") for i in range(8)] + [(100 + i, "der schnelle braune fuchs springt und läuft aus dem alten haus davon", "de") for i in range(8)])
-    model = langid.train(train)
-    long = table(spark, [(1, "the old dog runs over the brown house " * 60_000, None), (2, "das alte haus und der fuchs " * 80_000, None)])
-    assert {(r.doc_id, r.lang_id) for r in langid.identify(long, model).collect()} == {(1, "en"), (2, "de")}
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    parts = defaultdict(list)
+    for r in docs.collect():
+        parts[r.lang].append(r.text or "")
+    languages = sorted(parts)
+    long = [(" ".join(parts[x]) + " ") * (1 + 2_000_000 // sum(map(len, parts[x]))) for x in languages]
+    got = langid.identify(table(spark, [(i, t, None) for i, t in enumerate(long)]), langid.train(docs)).collect()
+    assert {r.doc_id: r.lang_id for r in got} == dict(enumerate(languages))
 
 
 # decontamination
