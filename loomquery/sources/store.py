@@ -34,6 +34,8 @@ from loomquery.sources.files import Files
 
 #: How long a writer may take from claiming a generation to committing it, before another may try.
 CLAIM_SECONDS = 300
+#: Ids from Parquet files of at most so many bytes are broadcast.
+BROADCAST_BYTES = 8 << 20
 ORDER = ("ts", "file", "seq")
 DEAD = "segment int, id string, dl long"
 
@@ -54,7 +56,8 @@ class Segment:
 
 @dataclass(frozen=True)
 class Manifest:
-    """taken: log folders that the segments hold already. dead: rows of segments that newer segments replace or delete."""
+    """taken: log folders that the segments hold already. dead: rows of segments that newer segments replace or delete, which
+    dead_in names."""
 
     generation: int = 0
     created_at: int = 0
@@ -66,6 +69,7 @@ class Manifest:
     dead: str | None = None
     dead_docs: int = 0
     dead_len: int = 0
+    dead_in: list[int] = field(default_factory=list)
 
     @classmethod
     def parse(cls, text: str) -> Manifest:
@@ -138,11 +142,24 @@ class Snapshot:
     def dead(self) -> DataFrame | None:
         return self.spark.read.schema(DEAD).parquet(self.manifest.dead) if self.manifest.dead else None
 
+    @cached_property
+    def hidden(self) -> DataFrame | None:
+        """(id) of all that the log changes; to be broadcast where the files it comes from are small."""
+        if self.last is None:
+            return None
+        size = sum(map(self.ns.files.size, self.files)) + (self.ns.files.size(self.table.path) if self.table is not None else 0)
+        ids = self.last.select("id")
+        return F.broadcast(ids) if size <= BROADCAST_BYTES else ids
+
     def visible(self, rows: DataFrame) -> DataFrame:
-        """rows (segment, id, ...) without those that newer segments replace and those that the log changes."""
+        """rows (segment, id, ...) without those that newer segments replace and those that the log changes. Segments without
+        replaced rows aren't joined: their number is a constant, so the plan has no branch for them there."""
         if self.manifest.dead:
-            rows = rows.join(self.dead.select("segment", "id"), ["segment", "id"], "left_anti")
-        return rows if self.last is None else rows.join(self.last.select("id"), "id", "left_anti")
+            some = F.col("segment").isin(self.manifest.dead_in)
+            dead = self.dead.select("segment", "id")
+            dead = F.broadcast(dead) if self.ns.files.size(self.manifest.dead) <= BROADCAST_BYTES else dead
+            rows = rows.where(~some).unionByName(rows.where(some).join(dead, ["segment", "id"], "left_anti").select(rows.columns))
+        return rows if self.last is None else rows.join(self.hidden, "id", "left_anti").select(rows.columns)
 
     def segment_rows(self, some: list[Segment] | None = None) -> DataFrame:
         """Rows of segments (all of them), with the segment's number."""
@@ -371,25 +388,25 @@ class Namespace:
             new = self._segment(versions.upserts(view.last).where(F.size("vector") > 0), 1 + max((s.id for s in old.segments), default=-1), folder)
             tombstones = folder("tombstones")
             versions.merge_tombstones(self.tombstones(old), view.log, ORDER).write.parquet(tombstones)
-            dead, docs, tokens = self._dead(view, folder) if old.segments else (None, 0, 0)
+            dead = self._dead(view, folder) if old.segments else (None, 0, 0, [])
             names = [f.rsplit("/", 1)[1] for f in taken]
             segments = [*old.segments, new] if new else old.segments
-            made = Manifest(old.generation + 1, time.time_ns(), old.dimensions or (new.dimensions if new else None), segments, max(old.watermark, *(int(n.split("-")[0]) for n in names)), tombstones, names, dead, docs, tokens)
+            made = Manifest(old.generation + 1, time.time_ns(), old.dimensions or (new.dimensions if new else None), segments, max(old.watermark, *(int(n.split("-")[0]) for n in names)), tombstones, names, *dead)
             self._commit(made)
         for name in old.taken:  # readers of the generation before may still be at those of this one
             self.files.delete(f"{self.path}/wal/{name}")
         return made
 
-    def _dead(self, view: Snapshot, folder: Callable[[str], str]) -> tuple[str, int, int]:
-        """Write the rows of segments that are replaced or deleted, those of this log too: the folder, rows, tokens."""
+    def _dead(self, view: Snapshot, folder: Callable[[str], str]) -> tuple[str, int, int, list[int]]:
+        """Write the rows of segments that are replaced or deleted, those of this log too: the folder, rows, tokens, segments."""
         read = lambda s: self.spark.read.parquet(f"{s.text}/lengths") if s.text else self.spark.read.parquet(s.path).select("id", F.lit(0).cast("long").alias("dl"))
         hit = view._segments(view.manifest.segments, read).join(view.last.select("id"), "id", "left_semi").select("segment", "id", "dl")
         if view.manifest.dead:
             hit = hit.join(view.dead.select("segment", "id"), ["segment", "id"], "left_anti").unionByName(view.dead)
         path = folder("dead")
         hit.write.parquet(path)
-        seen = self.spark.read.schema(DEAD).parquet(path).agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("len")).first()
-        return path, seen.n, seen.len
+        seen = self.spark.read.schema(DEAD).parquet(path).agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("len"), F.collect_set("segment").alias("of")).first()
+        return path, seen.n, seen.len, sorted(seen.of)
 
     def fold(self) -> Manifest:
         """Rewrite all live compacted rows as one segment, without replaced and deleted ones; older generations stay
@@ -399,7 +416,7 @@ class Namespace:
             return old
         with self._writing(old) as folder:
             one = self._segment(Snapshot(self, old, []).rows(), 1 + max(s.id for s in old.segments), folder)
-            made = replace(old, generation=old.generation + 1, created_at=time.time_ns(), segments=[one] if one else [], tombstones=None, dead=None, dead_docs=0, dead_len=0)
+            made = replace(old, generation=old.generation + 1, created_at=time.time_ns(), segments=[one] if one else [], tombstones=None, dead=None, dead_docs=0, dead_len=0, dead_in=[])
             self._commit(made)
         return made
 

@@ -175,7 +175,9 @@ def brute(links, trusted, blocked, steps, family):
     return {h: (round(t[h], 6), round(d[h], 6), h in bad or (d[h] >= link_graph.LEAST and d[h] > t[h])) for h in hosts}
 
 
-def test_propagation(spark):
+@pytest.mark.parametrize("hot_edges", [link_graph.HOT_EDGES, 1])
+def test_propagation(spark, hot_edges, monkeypatch):
+    monkeypatch.setattr(link_graph, "HOT_EDGES", hot_edges)
     got = {r.host: (r.trust, r.distrust, r.rejected) for r in link_graph.host_scores(pages_of(spark, LINKS), ("good.test",), ("bad.test",), tolerance=0.3).collect()}
     assert link_graph.rounds(tolerance=0.3) == 8
     want = brute(LINKS, ("good.test",), ("bad.test",), 8, link_graph.FAMILY)
