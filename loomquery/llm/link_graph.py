@@ -32,6 +32,8 @@ DAMPING, FAMILY = 0.85, 0.5
 #: The share of the score that may still move when the rounds end.
 TOLERANCE = 1e-3
 LEAST, RATIO = 1e-3, 1.0
+#: A host of more edges than this is hot; of many edges in all the bound rises, so that at most HOT_HOSTS are.
+HOT_EDGES, HOT_HOSTS = 100_000, 100_000
 HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/:?#\s]+)"
 LINK = r"(?:href|src|HREF|SRC)\s*=\s*[\"']?((?:[Hh][Tt][Tt][Pp][Ss]?:)?//[^\"'\s>]+)"
 PARENT = r"^[^.]+\.([^.]+\..+)$"
@@ -81,18 +83,31 @@ def covered(hosts: DataFrame, seeds: tuple[str, ...] | DataFrame) -> DataFrame:
 
 def propagate(hosts: DataFrame, graph: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(kind, host, score): personalised PageRank over graph (kind, src, dst, weight) from the seeds hosts (kind, host), for
-    each kind by itself; a seed sends out 1 - damping of 1, and a score is in units of that."""
-    total = graph.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
-    steps = graph.join(total, ["kind", "src"]).select(F.col("kind").alias("of"), "src", "dst", (F.col("weight") / F.col("total")).alias("p")).repartition("of", "src").persist(StorageLevel.MEMORY_AND_DISK)
+    each kind by itself; a seed sends out 1 - damping of 1, and a score is in units of that. The edges of a host that has
+    very many lie in all partitions, and its score is sent to them."""
+    out = materialise(graph.groupBy("kind", "src").agg(F.sum("weight").alias("total"), F.count("*").alias("edges")), "out-edges")
+    most = max(HOT_EDGES, (out.agg(F.sum("edges")).first()[0] or 0) // HOT_HOSTS)
+    hot = out.where(F.col("edges") > most).select(F.col("kind").alias("hot_kind"), F.col("src").alias("hot_src"))
+    any_hot = not hot.isEmpty()
+    steps = graph.join(out, ["kind", "src"]).select(F.col("kind").alias("of"), "src", "dst", (F.col("weight") / F.col("total")).alias("p"), (F.col("edges") > most).alias("hot"))
+    kept = [steps.where("not hot").repartition("of", "src").persist(StorageLevel.MEMORY_AND_DISK)]
+    if any_hot:
+        kept.append(steps.where("hot").repartition("of", "dst").persist(StorageLevel.MEMORY_AND_DISK))
     start = materialise(hosts.select("kind", "host", F.lit(1.0).alias("score")), "seeds")
     now = start
     n = rounds(damping, tolerance)
+    moved = ["kind", F.col("dst").alias("host"), (F.col("score") * F.col("p") * damping).alias("score")]
     for i in range(1, n + 1):
-        flow = now.join(steps, (now["kind"] == steps["of"]) & (now["host"] == steps["src"])).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("p") * damping).alias("score"))
+        flow = now.join(kept[0], (F.col("kind") == F.col("of")) & (F.col("host") == F.col("src"))).select(*moved)
+        if any_hot:
+            # at most HOT_HOSTS rows
+            few = now.join(F.broadcast(hot), (F.col("kind") == F.col("hot_kind")) & (F.col("host") == F.col("hot_src"))).select("kind", "host", "score")
+            flow = flow.unionByName(kept[1].join(F.broadcast(few), (F.col("kind") == F.col("of")) & (F.col("host") == F.col("src"))).select(*moved))
         now = flow.unionByName(start.select("kind", "host", (F.col("score") * (1 - damping)).alias("score"))).groupBy("kind", "host").agg(F.sum("score").alias("score"))
         if i % 8 == 0 or i == n:
             now = materialise(now, "rank")
-    steps.unpersist()
+    for x in kept:
+        x.unpersist()
     return now.withColumn("score", F.col("score") / (1 - damping))
 
 
