@@ -34,6 +34,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 CACHE_SLICES, CACHE_BITS = 300_000, 20
 #: Slices of more bytes are merged one by one with a heap, in n log n steps.
 LONG_SLICE = 256
+#: Characters that are encoded at once: more than other kernels take, as a block's fixed costs are higher here.
+ENCODE_CHARS = 1 << 19
 #: Tokens that are decoded at once.
 DECODE_TOKENS = 1 << 18
 SCAN = 128
@@ -361,7 +363,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         columns = [pa.ListArray.from_arrays(edges, pa.array(x, pa.int32()), mask=none) for x in (ids, offsets)]
         return pa.RecordBatch.from_arrays([part.column("doc_id"), *columns, pa.array(good, pa.bool_())], ["doc_id", "ids", "offsets", "round_trip"])
 
-    return map_text(docs.select("doc_id", "text"), run, f"doc_id {kind}, ids array<int>, offsets array<int>, round_trip boolean")
+    return map_text(docs.select("doc_id", "text"), run, f"doc_id {kind}, ids array<int>, offsets array<int>, round_trip boolean", chars=ENCODE_CHARS)
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:

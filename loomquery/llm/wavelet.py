@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .bpe import VOCABULARY, encoder
+from .bpe import ENCODE_CHARS, VOCABULARY, encoder
 from .common import map_text, read, texts_of
 
 #: Bytes of text a shard and a task, about; small shards, so that small tables are divided too.
@@ -207,7 +207,7 @@ def token_shards(docs: DataFrame, vocabulary: str = VOCABULARY, shard_bytes: int
         return pa.RecordBatch.from_arrays([part.column("shard"), part.column("doc_id"), pa.array(tokens, pa.binary())], ["shard", "doc_id", "tokens"])
 
     placed = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("shard"), "doc_id", "text")
-    coded = map_text(placed, run, f"shard int, doc_id {kind}, tokens binary")
+    coded = map_text(placed, run, f"shard int, doc_id {kind}, tokens binary", chars=ENCODE_CHARS)
     ordered = coded.repartitionById(tasks, (F.col("shard").cast("long") * tasks / n).cast("int")).sortWithinPartitions("shard", "doc_id", "tokens")
 
     def finish(shard: int, ids: list, tokens: list[bytes]) -> pa.RecordBatch:
