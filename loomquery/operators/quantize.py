@@ -63,6 +63,38 @@ def rerank(coded: DataFrame, query: Sequence[float], k: int, lo: Sequence[float]
     return top(few.select("id", exact.alias("score")), k).select("rank", "id", "score")
 
 
+def code_error(scale: Sequence[float]) -> float:
+    """How far a decoded vector may be from that whose code it is: half a step a dimension."""
+    return 0.5 * float(np.sqrt(sum(s * s for s in scale))) * (1 + 1e-9)
+
+
+def half_error(norm: Column, dimensions: int) -> Column:
+    """The same for halves of a vector of this length: half a unit in the last place a dimension, or half the least number."""
+    return norm * F.lit(2.0**-11 * (1 + 1e-9)) + F.lit(float(np.sqrt(dimensions)) * 2.0**-25)
+
+
+def score_bounds(distance: Column, error: Column, query: Sequence[float], metric: Metric, norm: Column, exact_norm: bool) -> tuple[Column, Column]:
+    """The least and the highest score that a row may have whose vector is within error of one at this distance. exact_norm: the
+    cosine was taken with the norm of the row's vector. A distance that isn't finite says nothing."""
+    if metric is Metric.EUCLIDEAN:
+        root = F.sqrt(distance)
+        near, far = F.pow(F.greatest(F.lit(0.0), root - error), 2), F.pow(root + error, 2)
+    else:
+        off = error * float(np.sqrt(sum(q * q for q in query)))
+        if metric is Metric.COSINE:
+            off = F.when(norm > 0, error * (1 if exact_norm else 2) / F.nullif(norm, F.lit(0.0))).otherwise(F.lit(0.0))
+        near, far = distance - off, distance + off
+    unknown = distance.isNull() | F.isnan(distance) | (F.abs(distance) == float("inf"))
+    return F.when(unknown, F.lit(0.0)).otherwise(V.score(far, metric)), F.when(unknown, F.lit(float("inf"))).otherwise(V.score(near, metric))
+
+
+def possible(rows: DataFrame, low: Column, high: Column, k: int) -> DataFrame:
+    """rows that may be among the k of highest score, by bounds of it: those whose highest score reaches the k-th of the least
+    ones, ties of 9 digits included."""
+    kth = rows.select(low.alias("low")).orderBy(F.col("low").desc()).limit(k).agg(F.when(F.count("*") == k, F.min("low")).alias("_kth"))
+    return rows.crossJoin(F.broadcast(kth)).where(F.col("_kth").isNull() | (high >= F.col("_kth") - 2e-9)).drop("_kth")
+
+
 def _halves(column: pa.Array) -> pa.Array:
     """Each vector as the bytes of its halves: one cast of all values, then slices of their bytes."""
     n = pc.fill_null(column.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -87,7 +119,7 @@ def to_half(rows: DataFrame) -> DataFrame:
     return with_half(rows.select("id", "vector")).select("id", "half")
 
 
-def half_vectors(coded: DataFrame) -> DataFrame:
+def half_vectors(coded: DataFrame, name: str = "vector") -> DataFrame:
     """coded with the vectors back from its halves."""
 
     @F.arrow_udf("array<float>")
@@ -96,4 +128,4 @@ def half_vectors(coded: DataFrame) -> DataFrame:
         flat = np.frombuffer(b"".join(x for x in h.to_pylist() if x), np.float16).astype(np.float32)
         return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(flat), mask=pc.is_null(h))
 
-    return coded.withColumn("vector", back("half")).drop("half")
+    return coded.withColumn(name, back("half")).drop("half")

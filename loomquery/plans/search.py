@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomquery.functions import vectors as V
 from loomquery.functions.attributes import predicate
 from loomquery.functions.text import Tokenizer
 from loomquery.operators import bm25, fusion, ivf, knn, quantize
@@ -24,19 +25,20 @@ def text_list(rows: DataFrame, text: str, n: int, where: Column | None = None, t
 
 
 def probe(part: IndexPart, view: Snapshot, request: SearchRequest, n: int, allowed: Column) -> DataFrame:
-    """(id, score) of at least the n nearest visible rows of the clusters that the query opens, by codes first where there
-    are any. The filter comes before the distances."""
+    """(id, score) of at least the n nearest visible rows of the clusters that the query opens. Where there are codes, only rows
+    whose codes leave it open that they are among the n are scored. The filter comes before the distances."""
     found, query = part.ivf, request.vector
     rows = part.rows.where(F.col("cluster").isin([ivf.CATCH_ALL, *found.nearest(query, request.nprobe)])).where(allowed)
     rows = view.visible(rows.withColumn("segment", F.lit(part.segment)))
-    if part.calibration or part.quantization == "f16":
-        if part.calibration:
-            d = quantize.approximate_distance(F.col("code"), query, *part.calibration, found.metric, F.col("norm"))
-            few = rows.select("id", (-d).alias("score"))
-        else:
-            few = knn.score_rows(quantize.half_vectors(rows.select("id", "half")), [(0, query)], found.metric, n * quantize.RERANK).select("id", "score")
-        few = few.orderBy(F.round("score", 9).desc(), "id").limit(n * quantize.RERANK)
-        rows = rows.select("id", "vector").join(F.broadcast(few.select("id")), "id")
+    if part.calibration:
+        d = quantize.approximate_distance(F.col("code"), query, *part.calibration, found.metric, F.col("norm"))
+        error = F.lit(quantize.code_error(part.calibration[1]))
+        rows = quantize.possible(rows, *quantize.score_bounds(d, error, query, found.metric, F.col("norm"), True), n)
+    elif part.quantization == "f16":
+        rows = quantize.half_vectors(rows, "half_vector")
+        d = V.distance(F.col("half_vector"), V.literal(query), found.metric)
+        error = quantize.half_error(F.col("norm"), len(query))
+        rows = quantize.possible(rows, *quantize.score_bounds(d, error, query, found.metric, F.col("norm"), False), n)
     return knn.score_rows(rows.select("id", "vector"), [(0, query)], request.metric, n).select("id", "score")
 
 

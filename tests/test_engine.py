@@ -304,3 +304,22 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
 
     with pytest.raises(ValueError):
         scratch(Session, "x")
+
+
+@pytest.mark.parametrize("quantization", ["sq8", "f16"])
+@pytest.mark.parametrize("metric", ["cosine", "euclidean", "dot"])
+def test_codes_lose_no_near_copy(spark, tmp_path, quantization, metric):
+    """With all clusters opened the rows of a scan, though codes can't tell hundreds of near copies apart."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    q = rng.normal(size=8)
+    v = np.concatenate([q + rng.normal(size=(400, 8)) * 1e-4, rng.normal(size=(100, 8)), [[90.0] * 8, [-90.0] * 8]])
+    catalog = Catalog(spark, str(tmp_path))
+    ns = catalog.namespace("n")
+    ns.upsert(docs(spark, [(f"{i:03d}", x.tolist(), None, None) for i, x in enumerate(v)]), 1)
+    ns.compact()
+    request = SearchRequest(tuple(q.tolist()), top_k=5, nprobe=99, distance_metric=metric)
+    assert ns.build_index(metric=request.metric, quantization=quantization, least_rows=10, clusters=4)
+    plain = search(ns.live(), request)
+    assert [r.id for r in catalog.search("n", request).collect()] == [r.id for r in plain.orderBy("rank").collect()]
