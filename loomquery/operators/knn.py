@@ -150,32 +150,119 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, metric: Metric = Metric.
     return top(found, k, ["query_id"]).select("query_id", "rank", "id", "score")
 
 
+#: Products held at once, and pairs scored at once.
+TILE, PAIRS = 1 << 22, 1 << 15
+
+
+def units(rows: np.ndarray) -> np.ndarray:
+    """rows at unit length; without a direction: zeros."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        length = np.sqrt((rows**2).sum(1))
+    ok = np.isfinite(length) & (length > 0)
+    return np.divide(rows, length[:, None], out=np.zeros_like(rows), where=ok[:, None])
+
+
+def likely(products: np.ndarray, rows: int, k: int, floor: np.ndarray, error: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (query, row) of products, each off by at most error, that may be among the k highest of their query; the
+    columns from rows on don't count. The k-th of the highest products of k or more disjoint groups of rows bounds the k-th
+    highest of all from below, so only groups are sorted. floor: what the rows before rule out for each query, which is raised.
+    Scores of zero, those of products up to zero, are ties: where these may be needed, all rows may be."""
+    width = max(64, 4 * k)
+    groups = products.shape[1] // width
+    if groups < 2:
+        products = products[:, :rows]
+        if rows > k:
+            _raise(floor, np.partition(products, rows - k, axis=1)[:, rows - k], error)
+        return np.nonzero(products >= floor[:, None])
+    products[:, rows:] = -2
+    parts = products.reshape(len(products), groups, width)
+    highest = parts.max(axis=1)
+    _raise(floor, np.partition(highest, width - k, axis=1)[:, width - k], error)
+    q, part = np.nonzero(highest >= floor[:, None])
+    at, group = np.nonzero(parts[q, :, part] >= floor[q][:, None])
+    return q[at], group * width + part[at]
+
+
+def _raise(floor: np.ndarray, kth: np.ndarray, error: float) -> None:
+    np.maximum(floor, np.where(kth > 2 * error, kth - 2 * error, -1.5), out=floor)
+
+
+def padded(rows: np.ndarray, k: int) -> np.ndarray:
+    """rows as floats, filled up to whole groups of ``likely``."""
+    width = max(64, 4 * k)
+    out = np.zeros((len(rows) if len(rows) < 2 * width else -(-len(rows) // width) * width, rows.shape[1]), np.float32)
+    out[: len(rows)] = rows
+    return out
+
+
+def cut(query: np.ndarray, row: np.ndarray, score: np.ndarray, rank: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query, ties by the rank of the row's id."""
+    order = np.lexsort((rank[row], -np.round(score, 9), query))
+    query, row, score = query[order], row[order], score[order]
+    first = np.flatnonzero(np.diff(query, prepend=-1))
+    keep = np.arange(len(query)) - np.repeat(first, np.diff(first, append=len(query))) < k
+    return query[keep], row[keep], score[keep]
+
+
+def nearest(queries: np.ndarray, rows: np.ndarray, k: int, metric: Metric, rank: np.ndarray, same: tuple[np.ndarray, np.ndarray] | None = None, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions (query, row) and scores of the k best rows of each query, ties by rank. For cosines, of which both sides are
+    given as ``units``, products of floats find what may be among the best, and only that is scored in doubles. same: numbers of
+    the ids of both sides, pairs of one number don't count. floor: see ``likely``."""
+    wide = k
+    if same is not None and len(rows):
+        wide += int(np.unique(same[1], return_counts=True)[1].max())
+    floor = np.full(len(queries), -1.5, np.float32) if floor is None else floor
+    cosine = metric is Metric.COSINE
+    right = padded(rows, wide) if cosine else rows
+    error = (rows.shape[1] + 16) * 2.0**-23
+    out = []
+    step = max(1, TILE // max(1, len(right)))
+    for at in range(0, len(queries), step):
+        some = queries[at : at + step]
+        if cosine:
+            q, r = likely(some.astype(np.float32) @ right.T, len(rows), wide, floor[at : at + step], error)
+            s = np.empty(len(q))
+            for i in range(0, len(q), PAIRS):
+                s[i : i + PAIRS] = scores(1 - np.clip(np.einsum("ij,ij->i", some[q[i : i + PAIRS]], rows[r[i : i + PAIRS]]), -1, 1), metric)
+        else:
+            all_ = scores(distances(rows, some, metric), metric)
+            hits = [best(x, wide) for x in all_]
+            q, r = np.repeat(np.arange(len(some)), [len(x) for x in hits]), np.concatenate(hits)
+            s = all_[q, r]
+        if same is not None:
+            other = same[0][at + q] != same[1][r]
+            q, r, s = q[other], r[other], s[other]
+        out.append(cut(at + q, r, s, rank, k))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def side(table: pa.Table, id: str, vector: str, metric: Metric) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """The vectors of the greatest length in a table (cosine: as ``units``), their ids and positions."""
+    column = table.column(vector).combine_chunks()
+    m, ok = matrix(column, int(pc.max(column.value_lengths()).as_py() or 0))
+    ids = table.column(id).combine_chunks()
+    return units(m) if metric is Metric.COSINE else m, ids if len(ok) == len(ids) else ids.take(pa.array(ok)), ok
+
+
+def ranks(ids: pa.Array) -> np.ndarray:
+    out = np.empty(len(ids), np.int64)
+    out[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+    return out
+
+
 def block_pairs(k: int, metric: Metric, exclude_self: bool = False):
-    """For cogrouped tables (id, vector) and (other, other_vector): of each id at least its k best others, by one matrix
-    product a slice of ids."""
+    """For cogrouped tables (id, vector) and (other, other_vector): of each id its k best others, by one matrix product a
+    slice of ids."""
 
     def pair(lt: pa.Table, rt: pa.Table) -> pa.Table:
-        sides = []
-        for t, name, values in ((lt, "id", "vector"), (rt, "other", "other_vector")):
-            column = t.column(values).combine_chunks()
-            dims = int(pc.max(column.value_lengths()).as_py() or 0)
-            m, ok = matrix(column, dims)
-            sides.append((m, t.column(name).combine_chunks().take(pa.array(ok))))
-        (m, ids), (n, others) = sides
-        query, row, score = [], [], []
+        (m, ids, _), (n, others, _) = side(lt, "id", "vector", metric), side(rt, "other", "other_vector", metric)
+        q = r = s = np.zeros(0, np.int64)
         if m.size and n.size and m.shape[1] == n.shape[1]:
-            same = np.array(others.to_pylist(), object)
-            for at in range(0, len(m), 256):
-                s = scores(distances(n, m[at : at + 256], metric), metric)
-                for q in range(len(s)):
-                    if exclude_self:
-                        s[q, same == ids[at + q].as_py()] = -1
-                    hit = best(s[q], k)
-                    hit = hit[s[q, hit] >= 0]
-                    query.append(np.full(len(hit), at + q))
-                    row.append(hit)
-                    score.append(s[q, hit])
-        q, r, s = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (query, row, score))
+            same = None
+            if exclude_self:
+                known = pc.unique(others)
+                same = pc.fill_null(pc.index_in(ids, known), -1).to_numpy(), pc.index_in(others, known).to_numpy()
+            q, r, s = nearest(m, n, k, metric, ranks(others), same)
         return pa.table({"query_id": ids.take(pa.array(q, pa.int64())), "id": others.take(pa.array(r, pa.int64())), "score": pa.array(s, pa.float64())})
 
     return pair

@@ -152,3 +152,39 @@ def test_halves_of_nulls_and_odd_lengths(spark):
     import numpy as np
 
     assert got == {0: [1.0, -2.5], 1: None, 2: [], 3: [float(x) for x in np.array([65504.0, 1e-8, 0.1], np.float16).astype(np.float32)]}
+
+
+def _brute(m, n, k, metric, rank, same):
+    import numpy as np
+
+    out, s = set(), knn.scores(knn.distances(n, m, metric), metric)
+    for q in range(len(m)):
+        out |= {(q, r) for _, _, r in sorted((-np.round(s[q, r], 9), rank[r], r) for r in range(len(n)) if same[0][q] != same[1][r])[:k]}
+    return out
+
+
+@pytest.mark.parametrize("metric", list(Metric))
+def test_nearest_in_blocks(metric):
+    """Exactly the k best by brute force, also of copies, of rows without a direction and where all scores are zero."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    of = knn.units if metric is Metric.COSINE else lambda x: x
+    for nq, nr, d, k in ((20, 1000, 8, 3), (20, 700, 64, 10), (5, 2, 4, 3), (10, 400, 1, 3)):
+        for kind in ("random", "copies", "opposite", "zero"):
+            m, n = rng.normal(size=(nq, d)), rng.normal(size=(nr, d))
+            n = n[rng.integers(0, min(5, nr), nr)] if kind == "copies" else n
+            m, n = (abs(m), -abs(n)) if kind == "opposite" else (m, n)
+            if kind == "zero":
+                n[::2], m[0] = 0, 0
+            rank, same = rng.permutation(nr), (np.arange(nq), np.arange(nr) % 50)
+            q, r, _ = knn.nearest(of(m), of(n), k, metric, rank, same)
+            assert set(zip(q.tolist(), r.tolist())) == _brute(m, n, k, metric, rank, same), kind
+
+
+def test_copies_give_k_rows_a_query_and_block():
+    import pyarrow as pa
+
+    t = lambda n, id, v: pa.table({id: pa.array(range(n), pa.int64()), v: pa.array([[1.0, 2.0]] * n, pa.list_(pa.float32()))})
+    found = knn.block_pairs(3, Metric.COSINE, True)(t(4, "id", "vector"), t(3000, "other", "other_vector"))
+    assert found.to_pydict()["id"] == [1, 2, 3, 0, 2, 3, 0, 1, 3, 0, 1, 2]
