@@ -739,10 +739,7 @@ def ivf_search_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kmeans_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k-means over all rows: how many clusters, rows that another centroid is nearer to, rows beyond their cluster's radius."""
     index, placed = ivf.fit(vecs(spark, sf_dir).select("id", "vector"), metric=Metric.EUCLIDEAN)
-    centroids = spark.createDataFrame([(i, [float(x) for x in c], float(r)) for i, (c, r) in enumerate(zip(index.centroids, index.radii))], "c int, centroid array<double>, radius double")
-    d = V.l2_squared(F.col("vector"), F.col("centroid"))
-    near = placed.join(F.broadcast(centroids)).groupBy("id", "cluster").agg(F.min(d).alias("least"), F.min(F.when(F.col("c") == F.col("cluster"), d)).alias("own"), F.min(F.when(F.col("c") == F.col("cluster"), F.col("radius"))).alias("radius"))
-    return near.agg(F.count("*").alias("n"), F.count_if(F.col("own") > F.col("least") + 1e-9).alias("misplaced"), F.count_if(F.sqrt("own") > F.col("radius") + 1e-9).alias("beyond_radius")).select("n", F.lit(len(index.centroids)).alias("clusters"), "misplaced", "beyond_radius")
+    return ivf.checked(placed, index).select("n", F.lit(len(index.centroids)).alias("clusters"), "misplaced", "beyond_radius")
 
 
 _MEANS = "means AS MATERIALIZED (SELECT label AS cluster, list(x ORDER BY dim) AS c FROM (SELECT label, dim, avg(x) AS x FROM (SELECT label, generate_subscripts(embedding, 1) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY ALL) GROUP BY label)"

@@ -188,3 +188,43 @@ def test_copies_give_k_rows_a_query_and_block():
     t = lambda n, id, v: pa.table({id: pa.array(range(n), pa.int64()), v: pa.array([[1.0, 2.0]] * n, pa.list_(pa.float32()))})
     found = knn.block_pairs(3, Metric.COSINE, True)(t(4, "id", "vector"), t(3000, "other", "other_vector"))
     assert found.to_pydict()["id"] == [1, 2, 3, 0, 2, 3, 0, 1, 3, 0, 1, 2]
+
+
+def test_kmeans_on_executors_is_that_on_the_driver(spark, monkeypatch):
+    import numpy as np
+
+    table = rows(spark, np.random.default_rng(6).normal(size=(400, 5)))
+    for metric in (Metric.COSINE, Metric.EUCLIDEAN):
+        one, _ = ivf.fit(table, k=7, metric=metric)
+        with monkeypatch.context() as m:
+            m.setattr(ivf, "LOCAL_VALUES", 0)
+            two, placed = ivf.fit(table, k=7, metric=metric)
+        assert np.abs(one.centroids - two.centroids).max() < 1e-9 and one.probes == two.probes and len(one.centroids) == 7
+
+
+def test_misplaced_rows_are_found(spark):
+    table = rows(spark, [[float(i), 0.0] for i in range(40)])
+    index, placed = ivf.fit(table, k=4, metric=Metric.EUCLIDEAN)
+    assert tuple(ivf.checked(placed, index).first()) == (40, 0, 0)
+    other = F.when(F.col("id") == 39, placed.where("id = 0").first().cluster).otherwise(F.col("cluster")).alias("cluster")
+    checked = ivf.checked(placed.select("id", "vector", other), index)
+    assert tuple(checked.first()) == (40, 1, 1)
+    assert "Join" not in checked._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_of_clusters(spark):
+    """Small clusters share blocks, large ones are cut; the answers don't depend on it."""
+    import numpy as np
+
+    first, parts, blocks = ivf.laid_out({-1: 2, 0: 5, 1: 25, 2: 3, 3: 10, 4: 4}, 6, 10)
+    assert first.tolist() == [0, 0, 1, 4, 5, 6, 6] and parts.tolist() == [1, 1, 3, 1, 1, 1, 1] and blocks == 7
+    v = np.random.default_rng(8).normal(size=(240, 5))
+    v[100:160] = v[3]
+    v[7] = 0
+    table = rows(spark, v)
+    index, placed = ivf.fit(table, k=6)
+    wanted = table.where("id % 20 = 0")
+    want = [tuple(r)[:3] for r in knn.knn_join(wanted, table, 4).orderBy("query_id", "rank").collect()]
+    for block in (13, 70, 20_000):
+        got = ivf.search_batch(placed, index, wanted, 4, nprobe=6, block_rows=block).orderBy("query_id", "rank").collect()
+        assert [tuple(r)[:3] for r in got] == want
