@@ -31,12 +31,12 @@ def upserts(last: DataFrame) -> DataFrame:
 
 def deleted(log: DataFrame, order: Sequence[str] = ("ts", "seq")) -> DataFrame:
     """(id) whose last change is a delete."""
-    return latest_change(log, order).where(F.col("op") == "delete").select("id")
+    return latest_change(log.select(*dict.fromkeys(["id", "op", *order])), order).where(F.col("op") == "delete").select("id")
 
 
 def merge_tombstones(tombstones: DataFrame, log: DataFrame, order: Sequence[str] = ("ts", "seq")) -> DataFrame:
     """(tombstones and deleted ids) without those upserted last."""
-    last = latest_change(log, order).select("id", "op")
+    last = latest_change(log.select(*dict.fromkeys(["id", "op", *order])), order)  # aggregates take all columns along
     gone = tombstones.select("id").unionByName(last.where(F.col("op") == "delete").select("id")).distinct()
     return gone.join(last.where(F.col("op") == "upsert").select("id"), "id", "left_anti")
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomquery.functions.text import Tokenizer
 from loomquery.plans.search import search_snapshot
-from loomquery.schema import SearchRequest
+from loomquery.schema import Mode, SearchRequest
 from loomquery.sources.files import Files
 from loomquery.sources.store import Indexing, Namespace, Snapshot
 
@@ -75,7 +75,9 @@ class Catalog:
 
     def search(self, name: str, request: SearchRequest) -> DataFrame:
         view = self.namespace(name).snapshot()
-        indexed = any(s.index for s in view.manifest.segments)
+        # postings answer texts alone: rows are then read for the few found, not kept
+        postings = request.resolved(view.manifest.dimensions, self.max_top_k).mode is Mode.TEXT and request.stats_scope != "segment" and view.manifest.segments and view.has_text_index and self.tokenizer == view.ns.indexing.tokenizer
+        indexed = postings or any(s.index for s in view.manifest.segments)
         return search_snapshot(view, request, self.tokenizer, self.max_top_k, None if indexed else self.rows(name, view))
 
     def search_cached(self, name: str, request: SearchRequest) -> DataFrame:

@@ -25,6 +25,7 @@ from functools import cached_property
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from loomquery.functions.text import Tokenizer
 from loomquery.functions.vectors import norm
@@ -131,6 +132,11 @@ class Snapshot:
         """The last change of each id."""
         return None if self.log is None else versions.latest_change(self.log, ORDER)
 
+    @cached_property
+    def changed(self) -> DataFrame | None:
+        """(id) of all that the log changes, without the rows themselves."""
+        return None if self.log is None else self.log.select("id").distinct()
+
     def _segments(self, some: list[Segment], read: Callable[[Segment], DataFrame]) -> DataFrame | None:
         out = None
         for s in some:
@@ -148,8 +154,7 @@ class Snapshot:
         if self.last is None:
             return None
         size = sum(map(self.ns.files.size, self.files)) + (self.ns.files.size(self.table.path) if self.table is not None else 0)
-        ids = self.last.select("id")
-        return F.broadcast(ids) if size <= BROADCAST_BYTES else ids
+        return F.broadcast(self.changed) if size <= BROADCAST_BYTES else self.changed
 
     def visible(self, rows: DataFrame) -> DataFrame:
         """rows (segment, id, ...) without those that newer segments replace and those that the log changes. Segments without
@@ -213,7 +218,7 @@ class Snapshot:
             if lengths is not None:
                 if m.dead:
                     lengths = lengths.join(self.dead.select("segment", "id"), ["segment", "id"], "left_anti")
-                hidden = lengths.join(self.last.select("id"), "id", "left_semi")
+                hidden = lengths.join(self.changed, "id", "left_semi")
                 parts = parts.unionByName(hidden.agg((-F.count("*")).alias("n"), (-F.coalesce(F.sum("dl"), F.lit(0))).alias("len")))
         out = parts.agg(F.sum("n").alias("n_docs"), F.sum("len").alias("total_len"))
         return out.withColumn("avgdl", bm25.average_length(F.col("total_len"), F.col("n_docs")))
@@ -335,11 +340,20 @@ class Namespace:
         if not self.files.publish(f"{self.path}/manifests/{manifest.generation}", json.dumps(asdict(manifest))):
             raise RuntimeError(f"generation {manifest.generation} was committed by another writer")
 
-    def _segment(self, rows: DataFrame, number: int, folder: Callable[[str], str]) -> Segment | None:
-        """Write rows as a segment with its indexes; None if there are no rows."""
+    @staticmethod
+    def _by_id(rows: DataFrame, changes: bool) -> DataFrame:
+        """The rows of a segment in its order. Of changes the last of each id counts, which is found where they are sorted
+        anyway: texts and vectors move once."""
+        rows = rows.repartitionByRange("id")
+        if changes:
+            w = W.partitionBy("id").orderBy(*[F.col(c).desc() for c in ORDER])
+            rows = rows.withColumn("_n", F.row_number().over(w)).where("_n = 1 and op = 'upsert' and size(vector) > 0")
+        return rows.select(*DOCUMENT.fieldNames(), norm(F.col("vector")).alias("norm")).sortWithinPartitions("id")
+
+    def _segment(self, rows: DataFrame, number: int, folder: Callable[[str], str], changes: bool = False) -> Segment | None:
+        """Write rows, or what changes make, as a segment with its indexes; None if there are no rows."""
         path = folder("segment")
-        made = rows.select(*DOCUMENT.fieldNames(), norm(F.col("vector")).alias("norm"))
-        made.repartitionByRange("id").sortWithinPartitions("id").write.option("parquet.bloom.filter.enabled#id", "true").parquet(path)
+        self._by_id(rows, changes).write.option("parquet.bloom.filter.enabled#id", "true").parquet(path)
         written = self.spark.read.parquet(path)
         seen = written.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
         if not seen.n:
@@ -385,7 +399,7 @@ class Namespace:
         with self._writing(old) as folder:
             taken = self.log_files(old)  # listed once: what is read is what is taken
             view = Snapshot(self, old, taken)
-            new = self._segment(versions.upserts(view.last).where(F.size("vector") > 0), 1 + max((s.id for s in old.segments), default=-1), folder)
+            new = self._segment(view.log, 1 + max((s.id for s in old.segments), default=-1), folder, changes=True)
             tombstones = folder("tombstones")
             versions.merge_tombstones(self.tombstones(old), view.log, ORDER).write.parquet(tombstones)
             dead = self._dead(view, folder) if old.segments else (None, 0, 0, [])
@@ -400,7 +414,7 @@ class Namespace:
     def _dead(self, view: Snapshot, folder: Callable[[str], str]) -> tuple[str, int, int, list[int]]:
         """Write the rows of segments that are replaced or deleted, those of this log too: the folder, rows, tokens, segments."""
         read = lambda s: self.spark.read.parquet(f"{s.text}/lengths") if s.text else self.spark.read.parquet(s.path).select("id", F.lit(0).cast("long").alias("dl"))
-        hit = view._segments(view.manifest.segments, read).join(view.last.select("id"), "id", "left_semi").select("segment", "id", "dl")
+        hit = view._segments(view.manifest.segments, read).join(view.changed, "id", "left_semi").select("segment", "id", "dl")
         if view.manifest.dead:
             hit = hit.join(view.dead.select("segment", "id"), ["segment", "id"], "left_anti").unionByName(view.dead)
         path = folder("dead")

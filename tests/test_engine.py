@@ -323,3 +323,12 @@ def test_codes_lose_no_near_copy(spark, tmp_path, quantization, metric):
     assert ns.build_index(metric=request.metric, quantization=quantization, least_rows=10, clusters=4)
     plain = search(ns.live(), request)
     assert [r.id for r in catalog.search("n", request).collect()] == [r.id for r in plain.orderBy("rank").collect()]
+
+
+def test_compaction_moves_rows_once(spark):
+    """The last change of each id is found by the sort that a segment needs: one exchange, no aggregate of whole rows."""
+    log = spark.createDataFrame([(1, "f", 0, "upsert", "a", [1.0], "old", None), (2, "f", 0, "upsert", "a", [2.0], "new", None), (2, "f", 1, "delete", "b", None, None, None), (1, "f", 1, "upsert", "b", [3.0], "x", None)], "ts long, file string, seq long, op string, id string, vector array<float>, text string, attributes string")
+    made = Namespace._by_id(log, True)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan and plan.count("+- Sort") + plan.count("- Sort [") > 0
+    assert [(r.id, r.text) for r in made.collect()] == [("a", "new")]

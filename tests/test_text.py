@@ -150,3 +150,11 @@ def test_normalise_of_zeros(spark):
     zeros = spark.createDataFrame([("a", 0.0)], "id string, score double")
     assert fusion.normalise(zeros).first().score == 0
     assert knn.top(fusion.normalise(zeros.limit(0)), 3).collect() == []
+
+
+def test_postings_move_no_words(spark):
+    """Words are counted where their text is: the plan has no exchange."""
+    table = spark.createDataFrame([(1, "tion thre tion"), (2, None), (3, ""), (4, "one " * 5000 + "two")], "id long, text string")
+    made = bm25.postings(table)
+    assert sorted(map(tuple, made.collect())) == [(1, 3, "thre", 1), (1, 3, "tion", 2), (4, 5001, "one", 5000), (4, 5001, "two", 1)]
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
